@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op6_ngram_jaccard_join
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
