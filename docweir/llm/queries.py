@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .jaccard_join import op6_ngram_jaccard_join
+from .line_dedup import op1_line_dedup
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
