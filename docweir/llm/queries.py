@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op4_byte_bpe
 from .jaccard_join import op6_ngram_jaccard_join
 from .line_dedup import op1_line_dedup
+from .mixing import op7_source_mixing
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op4_byte_bpe": op4_byte_bpe,
+    "op7_source_mixing": op7_source_mixing,
     "op1_line_dedup": op1_line_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
