@@ -17,7 +17,6 @@ size is laid out by many tasks.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,12 +79,12 @@ def _permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-@F.pandas_udf("long")
-def _block_of(slot: pd.Series, blocks: pd.Series, source: pd.Series) -> pd.Series:
-    n = blocks.to_numpy()
-    key = source.to_numpy().astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(SEED)
-    lap = slot.to_numpy() // n  # a lap through a source has an order of its own
-    return pd.Series(_permuted(slot.to_numpy() % n, n, key ^ lap.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+def _block_of(b: pa.RecordBatch) -> pa.RecordBatch:
+    """s and block of slots (s, slot, blocks)."""
+    source, slot, n = (b.column(i).to_numpy() for i in range(3))
+    lap = slot // n  # a lap through a source has an order of its own
+    key = source.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(SEED)
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(_permuted(slot % n, n, key ^ lap.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))], ["s", "block"])
 
 
 def draws(quota: np.ndarray, shards: int = SHARDS, seed: int = SEED) -> list[tuple[int, int, int, int]]:
@@ -99,9 +98,9 @@ def draws(quota: np.ndarray, shards: int = SHARDS, seed: int = SEED) -> list[tup
     have, rows = np.zeros(len(quota), np.int64), []
     for shard, n in enumerate(size):
         c = np.minimum(rng.multinomial(n, quota / total), quota - have)
-        rows += [(shard, s, int(have[s]), int(c[s])) for s in np.flatnonzero(c)]
+        rows += [(int(shard), s, int(have[s]), int(c[s])) for s in np.flatnonzero(c).tolist()]
         have += c
-    return rows + [(shards, s, int(have[s]), int(quota[s] - have[s])) for s in np.flatnonzero(quota - have)]
+    return rows + [(shards, s, int(have[s]), int(quota[s] - have[s])) for s in np.flatnonzero(quota - have).tolist()]
 
 
 def _laid_out(rows: DataFrame, largest: int) -> DataFrame:
@@ -132,7 +131,7 @@ def plan(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, most: fl
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     slots = spark.createDataFrame(draws(quota), "shard int, s int, first long, n long").repartition(8 if not len(per) else max(8, min(200, int(quota.sum()) // 100_000)))
     slots = slots.select("s", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")).join(src.select("s", "blocks"), "s")
-    times = slots.select("s", _block_of("slot", "blocks", "s").alias("block")).groupBy("s", "block").agg(F.count("*").alias("times"))
+    times = arrow_map(slots, ["s", "slot", "blocks"], _block_of, "s int, block long").groupBy("s", "block").agg(F.count("*").alias("times"))
     laid = _laid_out(rows.where("size > 0").select("doc_id", "s", "size"), max((r.n for r in per), default=0))
     parts = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))))
     first = F.greatest(F.col("block") * BLOCK - F.col("at"), F.lit(0))
@@ -170,10 +169,12 @@ def _cut(batches):
         out: list[str] = []
         for i, j, t in pieces(b, "text"):
             doc, s, e = t.words()
-            begin = np.searchsorted(doc, np.arange(j - i))
+            begin, many = np.searchsorted(doc, np.arange(j - i)), np.bincount(doc, minlength=j - i)
             for k in range(i, j):
                 w, said = begin[k - i], []
                 for p in parts[k]:
+                    if p["stop"] > many[k - i]:  # of another text with the same id
+                        continue
                     if said and said[-1][1] == p["first"]:
                         said[-1] = (said[-1][0], p["stop"])
                     else:
@@ -187,7 +188,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix: for each row of docs and each time that parts of it are taken (first, second), a row
     with its columns, text being the words of these parts (and n_chars, if there, counted anew).
 
-    Of rows that repeat an id, the one whose size fits is cut; ids should be unique for exact sums.
+    Ids should be unique for exact sums: of rows that repeat one, each gets those parts of all of them
+    that fit its text. Rows with a null id are not taken.
     """
     _, taken = plan(docs, **how)
     lap = taken.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_docweir_lap"), "first", "stop").where("doc_id is not null")
