@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op4_byte_bpe
+from .embedding_join import op2_embedding_dedup
 from .jaccard_join import op6_ngram_jaccard_join
 from .line_dedup import op1_line_dedup
 from .mixing import op7_source_mixing
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_source_mixing": op7_source_mixing,
     "op1_line_dedup": op1_line_dedup,
