@@ -1,0 +1,44 @@
+"""Catalog trees as rows: doc_id, path (names from the top), ord (the order in which they came)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from docweir.functions import text as T
+
+#: The longest name, and what counts as a letter.
+LONGEST, LETTER = 120, "[A-Za-zÀ-ỹ]"
+
+
+def noise(name: Column) -> Column:
+    return (name == "") | (F.length(name) > LONGEST) | ~name.rlike(LETTER)
+
+
+def merged(paths: DataFrame) -> DataFrame:
+    """doc_id, key (normalised names), path, ord: equal paths and their beginnings once, in the spelling
+    and the place that came first."""
+    every = paths.select("doc_id", "ord", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("depth"), "path")
+    one = every.select("doc_id", "ord", F.slice("path", 1, F.col("depth")).alias("path"))
+    one = one.withColumn("key", F.transform("path", T.normalize_name))
+    first = one.groupBy("doc_id", "key").agg(F.min_by(F.element_at("path", -1), "ord").alias("name"), F.min("ord").alias("ord"))
+    return first.select("doc_id", "key", "name", "ord", F.size("key").alias("depth"))
+
+
+def pruned(paths: DataFrame) -> DataFrame:
+    """merged() without noise and what is below it, with a child of its parent's name spliced, and
+    without top entries that have no child."""
+    clean = paths.where(~F.exists("path", lambda n: noise(T.strip(n))))
+    keys = F.transform("path", T.normalize_name)
+    kept = F.filter("path", lambda n, i: (i == 0) | (F.element_at(keys, i + 1) != F.element_at(keys, F.greatest(i, F.lit(1)))))
+    tree = merged(clean.withColumn("path", kept))
+    tops = tree.where("depth > 1").select("doc_id", F.element_at("key", 1).alias("top")).distinct()
+    return tree.join(tops, (tree.doc_id == tops.doc_id) & (F.element_at(tree.key, 1) == tops.top), "left_semi")
+
+
+def outline(tree: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc_id and outline: a heading with the title (doc_id, title), then names by key, two blanks a level."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- "), F.col("name"))
+    lines = tree.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("key", line.alias("line")))).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
+    return lines.join(titles, "doc_id").select("doc_id", F.concat(F.lit("# Catalog tài liệu: "), F.col("title"), F.lit("\n"), body).alias("outline"))
