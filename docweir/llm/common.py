@@ -1,44 +1,15 @@
-"""Helpers that the corpus operators share: durable tables, components, Arrow batches."""
+"""Helpers that the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 
+from docweir.operators.durable import components, durable, forget, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests, one machine)."""
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.conf.get("docweir.shared.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-docweir-")
-        spark.conf.set("docweir.shared.dir", where)
-    return where.rstrip("/")
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so that what follows neither
-    repeats its work nor depends on an executor that may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docweir-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docweir_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes what durable() wrote for df; only for tables that nothing reads any more."""
-    path = getattr(df, "_docweir_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["arrow_map", "components", "durable", "forget", "shared_dir"]
 
 
 def arrow_map(
@@ -52,41 +23,3 @@ def arrow_map(
                 yield f(b)
 
     return df.select(*columns).mapInArrow(run, schema)
-
-
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a long, b long): one row (id, component) for each end of an
-    edge, component the smallest id that it reaches.
-
-    Alternates large-star and small-star steps, which are joins with a minimum for each node; no
-    neighbourhood is ever collected, and a hub's rows only meet one row of the other side, so that
-    adaptive execution can split them. Rows with a null end are left out; no edges give no rows.
-    """
-    e = (
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    now = durable(e, name)
-    state = _mark(now)
-    for _ in range(max_rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        then = _mark(after)
-        forget(now)
-        now = after
-        if then == state:
-            break
-        state = then
-    roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
-
-
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -13,10 +13,12 @@ least the threshold, a fraction, which is tested in whole numbers.
    order, and how many of its shingles fall into each of SIDES classes. Documents of the same set
    are one class, with the smallest id as representative; only representatives go on.
 3. Prefixes meet by shingle. First each document of a shingle's list is paired with one hub of the
-   list only, so that a large group of near copies gives as many pairs as documents; links found so
-   give components. Then pairs whose shingle lists meet across different components follow: pairs
-   in one component can't change the result, all others are tried. Several rounds of hubs are run
-   while the number of remaining pairs is far above the number of documents.
+   list only, the one with the largest share of frequent shingles (in a group of edited copies that
+   is the least edited), so that such a group gives as many pairs as documents; links found so give
+   components. A second hub follows if the remaining pairs are far more than the documents. Then
+   all pairs across different components are tried: those within one can't change the result.
+   Short lists are joined with themselves; long ones are cut into parts of PART documents, and every
+   two parts meet in a group of their own.
 4. Pairs pass the length filter, the positional filter, and a suffix filter (the sets' counts by
    class bound their difference). Each pair left is verified once, on the whole sets of its texts.
 """
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map, components, durable, forget
 from .textvec import U, ngrams, pieces
 
-SIDES = 32
-#: Entries of the dictionary of frequent shingles, about 16 bytes each.
-FREQUENT = 1 << 17
+SIDES = 256
+#: Lists of up to SHORT documents are joined by Spark, longer ones in parts of PART documents.
+SHORT, PART = 32, 1024
+#: Entries of the dictionary of frequent shingles, 16 bytes each.
+FREQUENT = 1 << 20
 #: A shingle in fewer documents than this isn't put in the dictionary.
 LEAST = 4
 
@@ -61,8 +65,8 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[int, list[tuple[int, int]]]:
-    """bits, and (leading 32 + bits bits of a shingle's hash, documents) of the most frequent
+def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
+    """bits, and in order the leading 32 + bits bits of the hash and the documents of the most frequent
     shingles: the size / slots most frequent ones of each of the 2 ** bits slots of the hash range.
     Exact counts, from all documents."""
     total = docs.agg(F.sum(F.length(text))).first()[0] or 0
@@ -103,21 +107,21 @@ def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[
         first = np.flatnonzero(np.diff(low, prepend=low[:1] ^ 1))
         low, c = low[first], np.add.reduceat(c, first)
         low, c = low[c >= LEAST], c[c >= LEAST]
-        order = np.lexsort((low, -c))[:top]
-        slot = int(pdf["slot"].iloc[0])
-        return pd.DataFrame({"h": (slot << 32) + low[order].astype(np.int64), "n": c[order]})
+        order = np.sort(np.lexsort((low, -c))[:top])
+        key = (np.uint64(pdf["slot"].iloc[0]) << U(32)) + low[order].astype(np.uint64)
+        return pd.DataFrame({"keys": [key.tobytes()], "n": [c[order].astype(np.int64).tobytes()]})
 
     packed = docs.select(text).mapInArrow(count, "slot int, once binary, more binary, times binary")
-    rows = packed.groupBy("slot").applyInPandas(best, "h long, n long").collect()  # at most size rows
-    return bits, [(r.h, r.n) for r in rows]
+    rows = packed.groupBy("slot").applyInPandas(best, "keys binary, n binary").collect()  # at most size entries
+    key, n_docs = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, np.uint64), (1, np.int64)))
+    order = np.argsort(key)
+    return bits, key[order], n_docs[order]
 
 
-def _ranked(bits: int, rows: list[tuple[int, int]]):
+def _ranked(bits: int, key: np.ndarray, n: np.ndarray):
     """From the dictionary: leading bits in order, the rank of each (rarest first), bits."""
-    t = np.array(sorted(rows), np.int64).reshape(-1, 2)
-    key, n = t[:, 0].astype(np.uint64), t[:, 1]
-    rank = np.empty(len(n), np.uint64)
-    rank[np.lexsort((key, n))] = np.arange(len(n), dtype=np.uint64)
+    rank = np.empty(len(n), np.uint32)
+    rank[np.lexsort((key, n))] = np.arange(len(n), dtype=np.uint32)
     return key, rank, bits
 
 
@@ -126,14 +130,16 @@ def prefix_length(size, num: int, den: int):
     return size - -(-size * num // den) + 1
 
 
-def described(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int, table: tuple[int, list[tuple[int, int]]]) -> DataFrame:
-    """doc_id, size n, signature s1 and s2, prefix and counts by class (sides) of each row."""
+def described(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int, table: tuple[int, np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, size n, signature s1 and s2, prefix, counts by class (sides) and share of frequent
+    shingles of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(_ranked(*table))  # at most FREQUENT entries
 
     def describe(b: pa.RecordBatch) -> pa.RecordBatch:
         key, rank, bits = shared.value
         sizes, s1, s2 = (np.zeros(b.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-        sides = np.zeros((b.num_rows, SIDES), np.int32)
+        sides = np.zeros((b.num_rows, SIDES), np.uint8)
+        share = np.zeros(b.num_rows)
         parts, lengths = [], np.zeros(b.num_rows, np.int64)
         for i, j, d, h in sets(b, text, n):
             size = np.bincount(d, minlength=j - i)
@@ -143,13 +149,15 @@ def described(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: in
                 start = np.flatnonzero(np.diff(d, prepend=-1))
                 s1[full] = np.add.reduceat(h * U(0x9E3779B97F4A7C15) ^ (h >> U(29)), start)
                 s2[full] = np.add.reduceat((h ^ (h >> U(31))) * U(0xC2B2AE3D27D4EB4F) ^ (h >> U(17)), start)
-                sides[i:j] = np.bincount(d * SIDES + (h & U(SIDES - 1)).astype(np.int64), minlength=(j - i) * SIDES).reshape(-1, SIDES)
+                side = np.bincount(d * SIDES + (h & U(SIDES - 1)).astype(np.int64), minlength=(j - i) * SIDES)
+                sides[i:j] = np.minimum(side, 255).reshape(-1, SIDES)
             lead = h >> U(32 - bits)
             at = np.searchsorted(key, lead)
             known = at < len(key)
             known[known] = key[at[known]] == lead[known]
+            share[i:j] = np.bincount(d[known], minlength=j - i) / np.maximum(size, 1)
             first = np.zeros(len(h), np.uint64)
-            first[known] = rank[at[known]] + U(1)
+            first[known] = rank[at[known]].astype(np.uint64) + U(1)
             order = np.lexsort((h, first, d))
             h = h[order]
             begin = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -159,25 +167,29 @@ def described(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: in
             lengths[i:j] = take
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        packed = pa.array([x.tobytes() for x in np.minimum(sides, 65535).astype("<u2")], pa.binary())
-        arrays = [b.column(0).cast(pa.int64()), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), packed]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "prefix", "sides"])
+        packed = pa.array([x.tobytes() for x in sides], pa.binary())
+        arrays = [b.column(0).cast(pa.int64()), pa.array(sizes), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64))), packed, pa.array(share)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", "prefix", "sides", "share"])
 
-    return arrow_map(docs, [F.col(doc_id).alias("doc_id"), text], describe, "doc_id long, n long, s1 long, s2 long, prefix array<long>, sides binary")
+    return arrow_map(docs, [F.col(doc_id).alias("doc_id"), text], describe, "doc_id long, n long, s1 long, s2 long, prefix array<long>, sides binary, share double")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At least how many shingles are in just one of two sets, from their counts by class."""
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(1)
+
+
+def _sides(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, SIDES)
 
 
 def _near(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a, b left by the suffix filter: linked sets share at least num/(num+den) of na + nb."""
+    """Pairs a, b left by the length and suffix filters: linked sets share num/(num+den) of na + nb."""
 
     def keep(b: pa.RecordBatch) -> pa.RecordBatch:
-        if not b.num_rows:
-            return b.select(["a", "b"])
-        sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, SIDES).astype(np.int64) for c in ("sa", "sb"))
-        total = b.column("na").to_numpy() + b.column("nb").to_numpy()
-        apart = np.abs(sa - sb).sum(1)
-        capped = (sa == 65535).any(1) | (sb == 65535).any(1)
-        ok = capped | ((num + den) * (total - apart) >= 2 * num * total)
-        return b.select(["a", "b"]).filter(pa.array(ok))
+        total = b.column(2).to_numpy() + b.column(3).to_numpy()
+        apart = _apart(_sides(b.column(4).to_pylist()), _sides(b.column(5).to_pylist()))
+        return b.select(["a", "b"]).filter(pa.array((num + den) * (total - apart) >= 2 * num * total))
 
     a = meta.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sides").alias("sa"))
     b = meta.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sides").alias("sb"))
@@ -186,7 +198,7 @@ def _near(pairs: DataFrame, meta: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs a, b whose texts link."""
+    """The pairs a, b whose texts link. pairs: a durable table."""
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = b.num_rows
@@ -206,28 +218,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) ->
         ok = den * inter >= num * (size.sum(0) - inter)
         return b.select(["a", "b"]).filter(pa.array(ok))
 
-    a = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    b = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return arrow_map(pairs.join(a, "a").join(b, "b"), ["a", "b", "ta", "tb"], check, "a long, b long")
-
-
-def _candidates(post: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of different components whose lists share a shingle, within the length and
-    positional filters. post: token, doc, n, pos, comp."""
-    tc = post.select("token", "comp").distinct()
-    x = tc.select("token", F.col("comp").alias("ca"))
-    y = tc.select("token", F.col("comp").alias("cb"))
-    meets = x.join(y, "token").where("ca < cb")
-    a = post.select("token", F.col("comp").alias("ca"), F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"))
-    b = post.select("token", F.col("comp").alias("cb"), F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"))
-    long_enough = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    ids = durable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    # 8 bytes an id: small enough a set goes to the texts, else the texts go to the ids
+    ids = F.broadcast(ids) if ids.count() <= 500_000 else ids
+    texts = durable(docs.join(ids, "doc_id", "left_semi"), "texts")
+    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return durable(arrow_map(pairs.join(a, "a").join(b, "b"), ["a", "b", "ta", "tb"], check, "a long, b long"), "links")
+
+
+def _short(post: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs a < b of different components in a short list, left by the length and positional
+    filters. post: token, doc, n, pos, comp."""
+    a = post.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
+    b = post.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("comp").alias("cb"))
     reach = F.least("i", "j") + 1 + F.least(F.col("na") - F.col("i") - 1, F.col("nb") - F.col("j") - 1)
-    ok = long_enough & (reach * (num + den) >= (F.col("na") + F.col("nb")) * num)
-    full = meets.join(a, ["token", "ca"]).join(b, (meets.token == b.token) & (meets.cb == b.cb)).where(ok)
-    return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ok = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (reach * (num + den) >= (F.col("na") + F.col("nb")) * num)
+    return a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ok).select("a", "b").distinct()
+
 
+def _long(post: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs a < b of different components in a long list, left by the length, positional and
+    suffix filters. post: token, doc, n, pos, sides, comp, parts (of the list)."""
+
+    def meet(pdf):
+        import pandas as pd
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
+        pdf = pdf.drop_duplicates("doc")
+        doc, n, pos, comp, part = (pdf[c].to_numpy() for c in ("doc", "n", "pos", "comp", "part"))
+        sides, x, y = _sides(pdf["sides"]), int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        out = []
+        for i in np.flatnonzero(part == x):
+            j = np.flatnonzero((part == y) & (comp != comp[i]) & ((doc > doc[i]) | (x != y)))
+            total = n[i] + n[j]
+            reach = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+            j = j[(np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (reach * (num + den) >= total * num)]
+            apart = _apart(sides[i : i + 1], sides[j])
+            j = j[(num + den) * (n[i] + n[j] - apart) >= 2 * num * (n[i] + n[j])]
+            out.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], 1))
+        out = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+    part = post.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    other = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = other.select("token", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "doc", "n", "pos", "sides", "comp")
+    return met.groupBy("token", "x", "y").applyInPandas(meet, "a long, b long").distinct()
+
+
+def _lists(p: DataFrame, k: int) -> DataFrame:
+    """The lists that hold different components: token, hub, m (documents), w (sum of squares of the
+    components' documents)."""
+    hub = F.max_by("doc", F.struct("share", -F.col("doc"))) if k == 0 else F.max_by("doc", F.xxhash64("doc", F.lit(k)))
+    by = p.groupBy("token", "comp").agg(F.count("*").alias("c"), hub.alias("hub"), F.max(F.struct("share", -F.col("doc")) if k == 0 else F.xxhash64("doc", F.lit(k))).alias("key"))
+    lists = by.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("w"), F.max_by(F.struct("hub", "comp"), "key").alias("h"))
+    return durable(lists.where("comps > 1").select("token", "m", "w", F.col("h.hub").alias("hub"), F.col("h.comp").alias("hub_comp")), "lists")
+
+
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs.
 
     component_id is the smallest id reachable by links, itself included. Null texts count as empty.
@@ -238,47 +285,39 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_id: str
     table = frequent(docs, "text", n)
     t = durable(described(docs, "doc_id", "text", n, num, den, table), "sets")
     some = t.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = durable(some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     meta = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    post = durable(meta.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token")), "prefixes")
-    met = post.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("token")
-    post, whole = durable(post.join(met, "token"), "met"), post
+    whole = durable(meta.select(F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "token")), "prefixes")
+    met = durable(whole.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("token"), "met")
+    few = whole.join(met, "token")
+    of = meta.select(F.col("doc_id").alias("doc"), "n", "share", "sides").distinct()
+    post = durable(few.join(of.drop("sides"), "doc"), "postings")
     forget(whole)
-    members = post.select(F.col("doc").alias("doc_id")).distinct()
-    meta = durable(meta.join(members, "doc_id", "left_semi").select("doc_id", "n", "sides").distinct(), "meta")
-    texts = docs.join(members, "doc_id", "left_semi")
-    nodes = meta.count()
+    meta = durable(of.join(post.select("doc").distinct(), "doc", "left_semi").withColumnRenamed("doc", "doc_id"), "meta")
 
+    p = post.withColumn("comp", F.col("doc"))
     links = tried = None
-    comp = None
     for k in range(rounds):
-        p = post if comp is None else post.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
-        p = p.withColumn("comp", F.coalesce("component", "doc") if comp is not None else F.col("doc"))
-        lists = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), (F.min if k == 0 else F.max)("doc").alias("hub") if k < 2 else F.min_by("doc", F.xxhash64("doc", F.lit(k))).alias("hub"))
-        lists = lists.where("lo < hi")
+        lists = _lists(p, k)
         if k:
-            # pairs in a list less those within a component; a few times the documents are few enough
-            own = p.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum(F.col("c") * F.col("c")).alias("w"))
-            left = lists.join(own, "token").agg(F.sum((F.col("m") * F.col("m") - F.col("w")) / 2)).first()[0] or 0
-            if left <= 20 * nodes + 100_000 or not found:
+            left, nodes = lists.agg(F.sum((F.col("m") * F.col("m") - F.col("w")) / 2)).first()[0] or 0, meta.count()
+            if left <= 20 * nodes:
                 break
-        hub = p.select("token", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp"))
-        pairs = p.join(lists.select("token", "hub"), "token").join(hub, ["token", "hub"]).where("comp <> hub_comp")
+        pairs = p.join(lists.select("token", "hub", "hub_comp"), "token").where("comp <> hub_comp")
         pairs = pairs.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = durable(_near(pairs, meta, num, den), "pairs")
-        new = durable(_verified(pairs, texts, n, num, den), "links")
-        found = not new.isEmpty()
-        links = new if links is None else links.union(new)
-        tried = pairs if tried is None else tried.union(pairs)
-        comp = components(links)
-    p = post.join(comp.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    met = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    p = durable(p.join(met, "token").select("token", "doc", "n", "pos", "comp"), "across")
-    pairs = _near(_candidates(p, num, den).join(tried, ["a", "b"], "left_anti"), meta, num, den)
-    links = links.union(_verified(pairs, texts, n, num, den))
-    comp = components(links)
+        new = _verified(pairs, docs, n, num, den)
+        links, tried = (new, pairs) if k == 0 else (links.union(new), tried.union(pairs))
+        comp = durable(components(links), "component")
+        p = post.join(comp.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    else:
+        lists = _lists(p, rounds)
+    across = durable(p.join(lists.select("token", "m", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "token"), "across")
+    long = across.where(F.col("m") > SHORT).join(meta.select(F.col("doc_id").alias("doc"), "sides"), "doc")
+    pairs = _near(_short(across.where(F.col("m") <= SHORT), num, den), meta, num, den).union(_long(long, num, den)).distinct()
+    pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    comp = durable(components(links.union(_verified(pairs, docs, n, num, den))), "component")
     out = t.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
