@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 120_000, 500_000, 250_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 500_000, 200_000
 NONE = 1 << 60
 
 
@@ -53,8 +53,9 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        #: A state: its paths (node, last token, tokens to emit), its steps by byte, what it emits at the end.
-        self.start = [((0, -1, ()),), {}, ()]
+        #: A state: its paths (node, last token, tokens to emit), and by byte its steps, and at 256
+        #: more what it emits if that byte is the last.
+        self.start = (((0, -1, ()),), {})
         self.states = {self.start[0]: self.start}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -119,7 +120,7 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, state: list, b: int) -> tuple[list, tuple[int, ...]]:
+    def _step(self, state: tuple, b: int) -> tuple[tuple, tuple[int, ...]]:
         paths, ended, child, pairs = [], None, self.child, self.pairs
         for node, last, todo in state[0]:
             to = child.get(node * 256 + b)
@@ -141,24 +142,35 @@ class Transducer:
                 n += 1
             if n:
                 paths = [(node, last, todo[n:]) for node, last, todo in paths]
-                ended = paths[-1]
         key = tuple(paths)
         after = self.states.get(key)
         if after is None:
             if len(self.states) >= MAX_STATES:
                 self._forget()
-            after = self.states[key] = [key, {}, ended[2]]
+            after = self.states[key] = (key, {})
         step = state[1][b] = (after, first[:n] if n else ())
         return step
 
+    def _last(self, state: tuple, b: int) -> tuple[int, ...]:
+        """What a state emits when b ends the piece: no state is made for what can't go on."""
+        for node, last, todo in state[0]:
+            to = self.child.get(node * 256 + b)
+            if to is not None and to[1] >= 0:
+                ok = self.pairs.get((last, to[1]))
+                if ok or ok is None and self._follows(last, to[1]):
+                    done = state[1][b + 256] = (*todo, to[1])
+                    return done
+        raise AssertionError("a byte without a token")
+
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
         state = self.start
-        for b in piece:
+        for b in piece[:-1]:
             state, done = state[1].get(b) or self._step(state, b)
             if done:
                 out += done
-        out += state[2]
+        for b in piece[-1:]:
+            out += state[1].get(b + 256) or self._last(state, b)
         return out
 
 
@@ -208,19 +220,24 @@ class Utf8:
 
 
 class _Pieces(dict):
-    """Piece of text -> its ids; forgets all when there are too many."""
+    """Piece of text -> its ids. When there are too many, those not met since the last time go."""
 
     def __init__(self, machine: Transducer):
         self.machine = machine
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.machine.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(self.machine.encode(raw))
-        if len(raw) <= 64:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.machine.ranks.get(raw)
+            ids = (whole,) if whole is not None else tuple(self.machine.encode(raw))
+            if len(raw) > 64:
+                return ids
+        if len(self) >= MAX_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
