@@ -5,16 +5,24 @@ from __future__ import annotations
 from .bpe import op4_byte_bpe
 from .embedding_join import op2_embedding_dedup
 from .jaccard_join import op6_ngram_jaccard_join
+from .language_id import op3_language_id
+from .license_scan import op5_license_scan
 from .line_dedup import op1_line_dedup
 from .mixing import op7_source_mixing
+from .perplexity import op9_kneser_ney_quality
 from .quality_rules import op10_quality_rules
+from .token_packing import op8_token_packing
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_language_id": op3_language_id,
     "op4_byte_bpe": op4_byte_bpe,
-    "op7_source_mixing": op7_source_mixing,
-    "op1_line_dedup": op1_line_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_token_packing": op8_token_packing,
+    "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
