@@ -25,4 +25,25 @@ QUERIES = {
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+#: Plain SQL for those that it can express. Reachability is a recursive union of pairs.
+ORACLES = {
+    "op2_embedding_dedup": """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from v),
+pair as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id where a.n > 0 and b.n > 0 and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach as (select vec_id as id, vec_id as r from embeddings union select reach.id, pair.b from reach join pair on pair.a = reach.r),
+least as (select id, min(r) as component_id from reach group by id),
+links as (select a, count(*) as n from pair group by a)
+select e.vec_id, coalesce(links.n, 0)::bigint as n_links, least.component_id, e.vec_id = least.component_id as kept
+from embeddings e join least on least.id = e.vec_id left join links on links.a = e.vec_id""",
+    "op6_ngram_jaccard_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+i as (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) as i from w where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i : i + 3], chr(10)) as g from i),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+pair as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select doc_id as id, doc_id as r from documents union select reach.id, pair.b from reach join pair on pair.a = reach.r),
+least as (select id, min(r) as component_id from reach group by id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least.component_id from documents d join least on least.id = d.doc_id left join n on n.doc_id = d.doc_id""",
+}
