@@ -57,14 +57,19 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 40)
         if _stars(now):
             break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written, so that adaptive execution can split a hub's rows in the join
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large.where("u <> v").distinct(), name)
+        done = [now, least, large]
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        forget(now)
+        for t in (*done, least):
+            forget(t)
         now = after
+    else:
+        raise RuntimeError(f"components not found in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 

@@ -34,13 +34,13 @@ def retrieve(questions: DataFrame, docs: DataFrame, top_k: int = 5, hops: int =
     citations: question_id, subgoal, doc_id, score; coverage: question_id, subgoals, satisfied, all_satisfied.
     """
     goals = durable(plan(questions, planner).withColumn("satisfied", F.lit(False)).withColumn("note", F.lit(None).cast("string")), "goals")
-    every = None
+    every, ready = None, chunking.index(docs)
     for hop in range(hops):
         open_goals = goals.where(~F.col("satisfied"))
         if open_goals.isEmpty():
             break
         q = open_goals.select("query_id", T.broaden(F.col("description"), F.lit(hop), F.col("note")).alias("text"))
-        hits = vectors.normalized(chunking.bm25(docs, q, max(2 * top_k, 10))).drop("rank").withColumn("hop", F.lit(hop))
+        hits = vectors.normalized(chunking.bm25(docs, q, max(2 * top_k, 10), ready=ready)).drop("rank").withColumn("hop", F.lit(hop))
         every = hits if every is None else every.unionByName(hits)
         every = durable(every, "evidence")
         goals = durable(assess(every, goals.drop("satisfied", "note"), least), "goals")
