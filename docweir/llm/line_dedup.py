@@ -103,11 +103,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     the text), lines of each chunk that an earlier place repeats byte for byte."""
     all_spans = durable(_spanned(docs, ["doc_id"], min_words), "chunks")
     flat = all_spans.select("doc_id", F.explode("spans").alias("c")).select("doc_id", "c.*").where("doc_id is not null")
-    seen = flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
-    hits = flat.join(seen, "hash")
+    # aggregates are written before their joins, so that adaptive execution can split a hot chunk's rows
+    seen = durable(flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"), "repeated")
+    hits = durable(flat.join(seen.drop("n"), "hash"), "hits")
     # the first place: the least doc_id and there the least chunk
-    place = hits.where("doc_id = first_id").groupBy("hash").agg(F.min("chunk").alias("first_chunk"))
-    marked = durable(hits.join(place, "hash").withColumn("is_first", (F.col("doc_id") == F.col("first_id")) & (F.col("chunk") == F.col("first_chunk"))), "hits")
+    place = durable(hits.where("doc_id = first_id").groupBy("hash").agg(F.min("chunk").alias("first_chunk")), "places")
+    marked = hits.join(place, "hash").withColumn("is_first", (F.col("doc_id") == F.col("first_id")) & (F.col("chunk") == F.col("first_chunk")))
     wanted = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "hash", "start", "stop", "lines", "is_first"))).alias("w"))
     # a document's own chunks, at most as many as its lines, with the bytes of each
 
@@ -128,7 +129,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
 
     bodies = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut_out, "doc_id long, chunk int, hash long, start long, stop long, lines int, is_first boolean, body binary")
     bodies = durable(bodies, "bodies")
-    firsts = bodies.where("is_first").select("hash", F.col("body").alias("first_body")).distinct()
+    firsts = durable(bodies.where("is_first").select("hash", F.col("body").alias("first_body")).distinct(), "firsts")
     gone = bodies.where("not is_first").join(firsts, "hash").where("body = first_body")
     return all_spans.select("doc_id", "n_lines"), gone.select("doc_id", "chunk", "start", "stop", "lines").distinct()
 
