@@ -62,3 +62,46 @@ def contract_edges(entities: DataFrame, relations: DataFrame, chunks: DataFrame)
     s = e.select(F.col("id").alias("source"), F.col("chunk").alias("src"))
     t = e.select(F.col("id").alias("target"), F.col("chunk").alias("dst"))
     return relations.join(s, "source").join(t, "target").where("src <> dst").select("src", "dst", F.col("type").alias("relation")).distinct()
+
+
+def contract_errors(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """item, error of a knowledge-graph contract: entities without id, name or type, and relations with an
+    end that no entity has."""
+    lacks = [F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(f"missing {c}")) for c in ("id", "name", "type")]
+    bad = entities.select(F.col("id").cast("string").alias("item"), F.explode(F.array_compact(F.array(*lacks))).alias("error"))
+    ids = entities.select("id").distinct()
+    ends = [relations.join(ids, relations[c] == ids["id"], "left_anti").select(F.col(c).cast("string").alias("item"), F.lit(f"dangling {c}").alias("error")) for c in ("source", "target")]
+    return bad.union(ends[0]).union(ends[1])
+
+
+def compared(runs: DataFrame) -> DataFrame:
+    """sample_id, metric and each run's mean side by side with their difference (runs: technique of `a` or
+    `b`, sample_id, metric, value); samples that one lacks stay, with a null."""
+    v = F.when(~F.isnan("value"), F.col("value"))
+    side = lambda t: F.avg(F.when(F.col("technique") == t, v)).alias(t)
+    return runs.groupBy("sample_id", "metric").agg(side("a"), side("b")).withColumn("gain", F.col("b") - F.col("a"))
+
+
+def token_overlap(answers: DataFrame) -> DataFrame:
+    """sample_id, precision and recall of the distinct tokens of contexts against the reference's (answers:
+    sample_id, contexts array, reference): what stands in for a judge without a model."""
+    from docweir.functions import text as T
+
+    a = answers.select("sample_id", F.array_distinct(T.tokens(F.array_join("contexts", " "))).alias("c"), F.array_distinct(T.tokens(F.col("reference"))).alias("r"))
+    both = F.size(F.array_intersect("c", "r"))
+    return a.select("sample_id", (both / F.greatest(F.size("c"), F.lit(1))).alias("precision"), (both / F.greatest(F.size("r"), F.lit(1))).alias("recall"))
+
+
+class Techniques:
+    """Named ways to answer: each takes questions (question_id, text) and gives question_id, contexts."""
+
+    def __init__(self):
+        self.known: dict = {}
+
+    def register(self, name: str, answer) -> None:
+        self.known[name] = answer
+
+    def resolve(self, name: str):
+        if name not in self.known:
+            raise ValueError(f"unknown technique {name}; known: {', '.join(sorted(self.known))}")
+        return self.known[name]

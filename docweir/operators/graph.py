@@ -123,3 +123,40 @@ def without_document(vertices: DataFrame, edges: DataFrame, gone: DataFrame) ->
     v = vertices.join(gone, "document_id", "left_anti")
     ids = v.select("entity_id")
     return v, edges.join(ids, edges.src == ids.entity_id, "left_semi").join(ids, edges.dst == ids.entity_id, "left_semi")
+
+
+def provenance(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst of new QUY_DINH edges: from each file_path's first document to its values and concepts,
+    where no edge of any kind joins the two yet."""
+    v = vertices.where("file_path is not null")
+    own = v.where("entity_type = 'VanBan'").groupBy("file_path").agg(F.min("entity_id").alias("src"))
+    to = v.where("entity_type in ('GiaTriQuyDinh', 'KhaiNiem')").select("file_path", F.col("entity_id").alias("dst"))
+    return to.join(own, "file_path").select("src", "dst").join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
+def stamped(vertices: DataFrame, documents: DataFrame) -> DataFrame:
+    """vertices with a null document_id filled from the document (document_id, title) of their file_path."""
+    d = documents.groupBy(F.col("title").alias("file_path")).agg(F.min("document_id").alias("_id"))
+    return vertices.join(d, "file_path", "left").withColumn("document_id", F.coalesce("document_id", "_id")).drop("_id")
+
+
+def contains_lookup(numbers: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
+    """number, entity_id: the least id that contains each number (number, of width characters or fewer).
+
+    Every stretch of an id as long as a number is looked up, so the join is on equality; an id has as
+    many stretches as its length for each length that numbers have.
+    """
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("entity_id"), F.lit(width))))
+    parts = vertices.select("entity_id", sizes.alias("size"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("entity_id") - F.col("size") + 1))
+    parts = parts.select("entity_id", "size", starts.alias("at")).select("entity_id", F.substring("entity_id", F.col("at"), F.col("size")).alias("number"))
+    return numbers.select("number").distinct().join(parts, "number").groupBy("number").agg(F.min("entity_id").alias("entity_id"))
+
+
+def canonicalized(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices of the same normalised entity_id as one, the longest description kept, and edges between
+    them with their weights summed; loops go."""
+    name = lambda c: T.normalize_name(F.col(c))
+    v = vertices.groupBy(name("entity_id").alias("entity_id")).agg(F.max_by("description", F.struct(F.length("description"), F.col("entity_id"))).alias("description"), F.count("*").alias("members"))
+    e = edges.select(name("src").alias("src"), name("dst").alias("dst"), "relation", "weight").where("src <> dst")
+    return v, e.groupBy("src", "dst", "relation").agg(F.sum("weight").alias("weight"))

@@ -93,3 +93,12 @@ def coverage(evidence: DataFrame, least: float = 0.35) -> DataFrame:
     """question_id, subgoals, satisfied (those with evidence of at least the score), all_satisfied."""
     per = evidence.groupBy("question_id", "subgoal").agg(F.max("score").alias("best"))
     return per.groupBy("question_id").agg(F.count("*").alias("subgoals"), F.count_if(F.col("best") >= least).alias("satisfied"), F.bool_and(F.col("best") >= least).alias("all_satisfied"))
+
+
+def rerank(hits: DataFrame, top_k: int, by_score: bool = True) -> DataFrame:
+    """Of hits (question_id, arrival, chunk_id, score) of several tools, each chunk once as it came first,
+    the top_k best by score, or without by_score the first."""
+    first = Window.partitionBy("question_id", "chunk_id").orderBy("arrival", F.desc("score"))
+    one = hits.where("chunk_id is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    order = [*([F.desc("score")] if by_score else []), F.col("arrival"), F.col("chunk_id")]
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= top_k)

@@ -448,3 +448,58 @@ def retrieval_loop(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     found, _ = retrieve(q, table(spark, sf, "documents"))
     return found.withColumn("score", F.round("score", 4))
+
+
+@query("""with v as (select *, right(entity_id, 2) as file_path from vertices), own as (select file_path, min(entity_id) as src from v where entity_type = 'VanBan' group by file_path)
+select own.src, v.entity_id as dst from v join own using (file_path) where v.entity_type in ('GiaTriQuyDinh', 'KhaiNiem') and not exists (select 1 from edges e where e.src = own.src and e.dst = v.entity_id)""", "vertices edges")
+def provenance_link(spark, sf):
+    v, e = _graph(spark, sf)
+    return graph.provenance(v.withColumn("file_path", F.right("entity_id", F.lit(2))), e)
+
+
+@query("with n as (select distinct concat('d', cast(s_nationkey + 1 as varchar)) as number from supplier) select n.number, min(entity_id) as entity_id from n join vertices v on contains(v.entity_id, n.number) group by n.number", "vertices")
+def contains_lookup(spark, sf):
+    v, _ = _graph(spark, sf)
+    n = table(spark, sf, "supplier").select(F.concat(F.lit("d"), (F.col("s_nationkey") + 1).cast("string")).alias("number"))
+    return graph.contains_lookup(n, v, 3)
+
+
+@query("select lower(p_brand) as src, lower(trim(p_container)) as dst, relation, sum(weight)::double as weight from (select p_brand, upper(p_type) as p_container, 'AP_DUNG_CHO' as relation, p_size as weight from part) x group by all")
+def canonical_weights(spark, sf):
+    p = table(spark, sf, "part")
+    e = p.select(F.col("p_brand").alias("src"), F.upper("p_type").alias("dst"), F.lit("AP_DUNG_CHO").alias("relation"), F.col("p_size").cast("double").alias("weight"))
+    v = p.select(F.col("p_brand").alias("entity_id"), F.col("p_name").alias("description"))
+    return graph.canonicalized(v, e)[1]
+
+
+@query("with h as (select o_custkey as question_id, l_orderkey * 10 + l_linenumber as arrival, l_suppkey as chunk_id, l_discount * 100 + l_tax as score from lineitem join orders on o_orderkey = l_orderkey), f as (select * from h qualify row_number() over (partition by question_id, chunk_id order by arrival, score desc) = 1) select question_id, arrival, chunk_id, round(score, 4) as score, row_number() over (partition by question_id order by score desc, arrival, chunk_id) as rank from f qualify rank <= 5")
+def rerank_hits(spark, sf):
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    h = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("question_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("arrival"), F.col("l_suppkey").alias("chunk_id"), (F.col("l_discount") * 100 + F.col("l_tax")).alias("score"))
+    return vectors.rerank(h, 5).select("question_id", "arrival", "chunk_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("select cast(s_suppkey as varchar) as item, 'missing type' as error from supplier where s_suppkey % 7 = 0 union all select cast(c_nationkey as varchar), 'dangling source' from customer where c_nationkey not in (select s_suppkey from supplier) union all select cast(c_custkey as varchar), 'dangling target' from customer where c_custkey not in (select s_suppkey from supplier)")
+def contract_errors(spark, sf):
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    entities = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 7 != 0, "KhaiNiem").alias("type"))
+    return evalkit.contract_errors(entities, c.select(F.col("c_nationkey").cast("long").alias("source"), F.col("c_custkey").alias("target")))
+
+
+@query("select doc_id as sample_id, 'm' as metric, avg(quality::double) as a, avg(toxic::double) as b, avg(toxic::double) - avg(quality::double) as gain from labels group by doc_id")
+def run_compare(spark, sf):
+    r = table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"), F.lit("m").alias("metric"), F.explode(F.array(F.struct(F.lit("a").alias("technique"), F.col("quality").cast("double").alias("value")), F.struct(F.lit("b").alias("technique"), F.col("toxic").cast("double").alias("value")))).alias("x"))
+    return evalkit.compared(r.select("sample_id", "metric", "x.*"))
+
+
+@query(rf"with b as (select doc_id, list_distinct(regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]+')) as c, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}_]+')) as r from documents d join benchmark b on b.item_id = d.doc_id % 40) select doc_id as sample_id, round(len(list_intersect(c, r)) / greatest(len(c), 1), 6) as precision, round(len(list_intersect(c, r)) / greatest(len(r), 1), 6) as recall from b")
+def token_overlap(spark, sf):
+    b = table(spark, sf, "benchmark").select((F.col("item_id")).alias("k"), F.col("text").alias("reference"))
+    a = table(spark, sf, "documents").withColumn("k", F.col("doc_id") % 40).join(b, "k").select(F.col("doc_id").alias("sample_id"), F.array("text").alias("contexts"), "reference")
+    return evalkit.token_overlap(a).select("sample_id", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("select l.lang, l.source, count(*) as documents, count(*) filter (n_chars > 2000) as long_documents, sum(n_chars)::bigint as chars, max(n_chars) as longest from documents l group by all")
+def catalog_listing(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.groupBy("lang", "source").agg(F.count("*").alias("documents"), F.count_if(F.col("n_chars") > 2000).alias("long_documents"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
