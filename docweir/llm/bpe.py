@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, cache
 
 MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 500_000, 200_000
 NONE = 1 << 60
@@ -180,6 +182,7 @@ class Utf8:
     def __init__(self, token: dict[int, bytes]):
         self.token = token
         self.steps: dict[bytes, dict[int, tuple[bytes, str]]] = {b"": {}}
+        self.whole = _Whole(self)
 
     @staticmethod
     def feed(held: bytes, byte: int) -> tuple[bytes, str]:
@@ -209,6 +212,14 @@ class Utf8:
         self.steps.setdefault(now, {})
         return now, text
 
+    def text(self, ids: list[int]) -> str:
+        """The text of all ids. Where each token is a run of whole characters the machine is back at
+        its start after each, and the tokens' texts are joined at once."""
+        try:
+            return "".join(map(self.whole.__getitem__, ids))
+        except KeyError:
+            return "".join(self.stream(ids))
+
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text that each id completes, then what remains."""
         held = b""
@@ -219,6 +230,20 @@ class Utf8:
             yield "�"
 
 
+class _Whole(dict):
+    """The texts of tokens that take the machine from its start to its start; others are no keys."""
+
+    def __init__(self, machine: Utf8):
+        self.machine = machine
+
+    def __missing__(self, t: int) -> str:
+        held, text = self.machine._step(b"", t)
+        if held:
+            raise KeyError(t)
+        self[t] = text
+        return text
+
+
 class _Pieces(dict):
     """Piece of text -> its ids. When there are too many, those not met since the last time go."""
 
@@ -256,21 +281,17 @@ class Tokenizer:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.utf8.stream(ids))
-
-
-_made: dict[str, Tokenizer] = {}
+    def decode(self, ids: list[int]) -> str:
+        return self.utf8.text(ids)
 
 
 def tokenizer(ranks_file: bytes, pattern: str) -> Tokenizer:
     """One for each worker and vocabulary."""
-    key = hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
-    if key not in _made:
-        _made[key] = Tokenizer(ranks_file, pattern)
-        gc.freeze()  # its tables live as long as the worker
-        gc.set_threshold(200_000, 20, 100)  # its caches hold many small tuples and no cycles
-    return _made[key]
+    made, key = cache("bpe"), hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
+    if key not in made:
+        made[key] = Tokenizer(ranks_file, pattern)
+        gc.set_threshold(200_000, 20, 100)  # it holds many small tuples and no cycles
+    return made[key]
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -286,6 +307,14 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
         yield raw.decode("utf-8", "replace") if raw else ""
 
 
+def _little(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit integers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def _vocabulary(spark: SparkSession, path: str | None, pattern: str | None):
     own_path, own_pattern = (path, pattern) if path and pattern else default_vocabulary()
     with open(path or own_path, "rb") as f:  # the vocabulary lies with the driver; a broadcast takes its megabyte along
@@ -305,7 +334,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
 
-    return arrow_map(docs, [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")], run, "doc_id long, ids array<int>")
+    return arrow_map(docs, [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")], run, "doc_id long, ids array<int>", "bpe")
 
 
 def decoded(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -321,7 +350,7 @@ def decoded(tokens: DataFrame, path: str | None = None, pattern: str | None = No
             out.append(t.decode(x) if all(i in known for i in x) else "".join(t.decode([i]) if i in known else "�" for i in x))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return arrow_map(tokens, ["doc_id", "ids"], run, "doc_id long, text string")
+    return arrow_map(tokens, ["doc_id", "ids"], run, "doc_id long, text string", "bpe")
 
 
 def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,11 +364,11 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None
         for x in _texts(b, "text"):
             ids = t.encode(x)
             n.append(len(ids))
-            ids_hash.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+            ids_hash.append(hashlib.sha256(_little(ids)).hexdigest())
             text_hash.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(docs, [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs, [F.col(doc_id).alias("doc_id"), F.col(text).alias("text")], run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
