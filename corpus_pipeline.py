@@ -11,29 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from docweir.llm import bpe, common, jaccard_join, line_dedup, mixing, quality_rules
 
 
+def _bounded(spark: SparkSession) -> None:
+    """Batches of 2000 texts at most, so that Python workers and the JVM hold few megabytes each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    _bounded(spark)
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines that an earlier place repeats go; every document stays."""
+    _bounded(spark)
     return line_dedup.without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id. Word shingles of five at a
     similarity of 0.8 or more, as near-duplicate stages take."""
+    _bounded(spark)
     return jaccard_join.keep_one(docs, n=5, num=80, den=100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a row for each document and time that its words are taken."""
+    _bounded(spark)
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
+    _bounded(spark)
     return bpe.token_digests(docs)
 
 
