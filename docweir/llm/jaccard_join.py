@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, durable, forget
+from .common import arrow_map, components, durable, enter, forget
 from .textvec import U, ngrams, pieces
 
 SIDES = 256
@@ -70,15 +70,16 @@ def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[
     shingles: the size / slots most frequent ones of each of the 2 ** bits slots of the hash range.
     Exact counts, from all documents."""
     total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / 5 / 4e6 + 1)), 6, 16))  # about 4 million shingles a slot
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / 5 / 2e6 + 1)), 6, 16))  # about 2 million shingles a slot
     top, shift = max(1, size >> bits), U(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("jaccard")
         kept: list[np.ndarray] = []
         for b in batches:
             for _, _, _, h in sets(b, text, n):
                 kept.append(h)
-                if sum(map(len, kept)) > 4_000_000:
+                if sum(map(len, kept)) > 2_000_000:
                     yield out(np.concatenate(kept))
                     kept = []
         if kept:

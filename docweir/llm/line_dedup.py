@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import durable
+from .common import durable, enter
 from .textvec import U, mix, pieces
 
 WINDOW, MEAN, LIMIT, LONG, MIN_WORDS = 2, 3, 16, 40, 20
@@ -87,6 +87,7 @@ def _spanned(docs: DataFrame, columns: list[str], min_words: int) -> DataFrame:
     """The columns (text is dropped) with spans and n_lines."""
 
     def run(batches):
+        enter("lines")
         for b in batches:
             if b.num_rows:
                 spans, n = _spans(b, min_words)
@@ -113,6 +114,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     # a document's own chunks, at most as many as its lines, with the bytes of each
 
     def cut_out(batches):
+        enter("lines")
         for b in batches:
             if not b.num_rows:
                 continue

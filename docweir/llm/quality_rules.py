@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable
+from .common import arrow_map, durable, enter
 from .textvec import SPACE, by_doc, mix, ngrams, pieces
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -180,19 +180,15 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = [*MEASURES, *MORE]
     votes = measured(docs).groupBy(pattern().alias("pattern")).agg(F.count("*").alias("n"))
     p = posterior(docs.sparkSession, votes)
-    own = "_docweir_measures"
 
-    def add(batches):
-        for b in batches:
-            if b.num_rows:
-                m = measure(b, "text")
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([pa.array(m[c]) for c in names], names)], [*b.schema.names, own])
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: bigint" for c in names) + ">")
+    def measures(text: pa.Array) -> pa.Array:
+        enter("quality")
+        m = measure(pa.RecordBatch.from_arrays([text], ["text"]))
+        return pa.StructArray.from_arrays([pa.array(m[c]) for c in names], names)
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField(own, StructType([StructField(c, LongType()) for c in names]))])
-    with_m = docs.mapInArrow(add, schema)
-    flat = with_m.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docweir_row"), *[F.col(own)[c].alias(c) for c in names])
+    flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docweir_row"), measures(F.col("text")).alias("_docweir_m"))
+    flat = flat.select("_docweir_row", *[F.col("_docweir_m")[c].alias(c) for c in names])
     kept = flat.withColumn("pattern", pattern()).where(~base_failed()).where(p >= threshold)
     return kept.select(*[F.col("_docweir_row")[c].alias(c) for c in docs.columns])
 
