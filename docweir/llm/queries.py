@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op4_byte_bpe
 from .embedding_join import op2_embedding_dedup
 from .jaccard_join import op6_ngram_jaccard_join
@@ -24,9 +26,10 @@ QUERIES = {
     "op8_token_packing": op8_token_packing,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 #: Plain SQL for those that it can express. Reachability is a recursive union of pairs.
-ORACLES = {
+ORACLES = ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
     "op2_embedding_dedup": """
 with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0),
 u as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from v),
