@@ -136,7 +136,8 @@ def plan(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, most: fl
     parts = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))))
     first = F.greatest(F.col("block") * BLOCK - F.col("at"), F.lit(0))
     stop = F.least((F.col("block") + 1) * BLOCK - F.col("at"), F.col("size"))
-    taken = parts.join(times, ["s", "block"]).select("doc_id", "s", "size", "at", first.alias("first"), stop.alias("stop"), "times")
+    # merge: Spark takes the table of slots, exploded from a few rows, for a small one
+    taken = parts.join(times.hint("merge"), ["s", "block"]).select("doc_id", "s", "size", "at", first.alias("first"), stop.alias("stop"), "times")
     return rows, taken
 
 
@@ -194,7 +195,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     _, taken = plan(docs, **how)
     lap = taken.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_docweir_lap"), "first", "stop").where("doc_id is not null")
     parts = lap.groupBy("doc_id", "_docweir_lap").agg(F.sort_array(F.collect_list(F.struct("first", "stop"))).alias("_docweir_parts"))
-    both = docs.join(parts, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns], "_docweir_parts")
+    both = docs.join(parts.hint("merge"), "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns], "_docweir_parts")
     out = both.mapInArrow(_cut, StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
