@@ -129,8 +129,8 @@ def plan(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, most: fl
     src = spark.createDataFrame([(r.source, i, int(r["size"]), g, int(blocks[i])) for i, (r, g) in enumerate(zip(per, goal, strict=True))], "source string, s int, source_size long, target double, blocks long")
     known = src.withColumnRenamed("source", "_source")
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    slots = spark.createDataFrame(draws(quota), "shard int, s int, first long, n long").repartition(8 if not len(per) else max(8, min(200, int(quota.sum()) // 100_000)))
-    slots = slots.select("s", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot")).join(src.select("s", "blocks"), "s")
+    slots = spark.createDataFrame([(*r, int(blocks[r[1]])) for r in draws(quota)], "shard int, s int, first long, n long, blocks long").repartition(8 if not len(per) else max(8, min(200, int(quota.sum()) // 100_000)))
+    slots = slots.select("s", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
     times = arrow_map(slots, ["s", "slot", "blocks"], _block_of, "s int, block long").groupBy("s", "block").agg(F.count("*").alias("times"))
     laid = _laid_out(rows.where("size > 0").select("doc_id", "s", "size"), max((r.n for r in per), default=0))
     parts = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))))
