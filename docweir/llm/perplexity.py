@@ -1,15 +1,16 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted documents are those labelled good. A bounded sample of them, about SAMPLE documents each,
-trains the model and sets the thresholds. Counts of word trigrams, continuation counts of bigrams
+Trusted documents are those labelled good. Half of them, by a hash of their id, trains the model and
+all others set the thresholds, so both grow with the input. Counts of word trigrams, continuation counts of bigrams
 and words, context totals and back-off weights are Spark tables, sharded by the n-gram's hash and
 joined by it; the discounts of each order come from its counts of counts.
 
-The model's size is bounded by the sample. Up to BROADCAST entries (12 bytes each) it goes to the
-tasks that score, as sorted arrays, and texts aren't shuffled; a larger model is joined with the
+The model grows with the trusted text. Up to BROADCAST entries (12 bytes each) it goes to the tasks
+that score, as sorted arrays, and texts aren't shuffled; a larger model is joined with the
 documents' n-grams, counted for each document first, by the n-gram's hash. A document is kept when
 its perplexity is within the QUANTILE of the trusted documents of its language that the model wasn't
-trained on; languages with fewer than LEAST of these take the quantile of all.
+trained on.
+Languages with fewer than LEAST of these take the quantile of all.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable
 from .textvec import U, Texts, mix, pieces
 
-SAMPLE, BROADCAST, QUANTILE, LEAST = 2000, 16_000_000, 0.998, 20
+BROADCAST, QUANTILE, LEAST = 16_000_000, 0.998, 20
 
 _START = U(0x5851F42D4C957F2D)
 _F = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
@@ -146,31 +147,40 @@ def scored(docs: DataFrame, entries: DataFrame, broadcast: int = BROADCAST) -> D
 
 
 def _scored_by_join(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same for a model of any size: a document's n-grams are counted, then joined order by order."""
+    """The same for a model of any size: a document's n-grams are counted, then joined order by order.
+
+    Rows are told apart by their partition and place. Each begins with a row of n = 0, which has its
+    id and language and keys of no n-gram, so that texts without words stay."""
+    names = ["row", "doc_id", "lang", "n", "k3", "k12", "k23", "w", "v"]
 
     def rows(batches):
+        from pyspark import TaskContext
+
+        begin = TaskContext.get().partitionId() << 33
         for b in batches:
+            row = begin + np.arange(b.num_rows)
+            begin += b.num_rows
+            none = pa.array(mix(row.astype(np.uint64) ^ _START).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(row), b.column(0), b.column(1), pa.array(np.zeros(b.num_rows, np.int64)), *[none] * 5], names)
             for i, _, t in pieces(b, "text", lower=True):
                 doc, *keys = trigrams(t)
                 order = np.lexsort((keys[0], doc))
                 d, k = doc[order], keys[0][order]
-                first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.concatenate([[1], np.diff(k)]) != 0))
+                first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(k, prepend=k[:1]) != 0))
                 n = np.diff(np.append(first, len(d)))
                 at = order[first]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + doc[at])), b.column(1).take(pa.array(i + doc[at])), pa.array(n), *[pa.array(x[at].view(np.int64)) for x in keys]], ["doc_id", "lang", "n", "k3", "k12", "k23", "w", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[i + doc[at]]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()), pa.array(n), *[pa.array(x[at].view(np.int64)) for x in keys]], names)
 
-    g = docs.select("doc_id", "lang", "text").mapInArrow(rows, "doc_id long, lang string, n long, k3 long, k12 long, k23 long, w long, v long")
+    g = docs.select("doc_id", "lang", "text").mapInArrow(rows, "row long, doc_id long, lang string, n long, k3 long, k12 long, k23 long, w long, v long")
     for kind, key in ((P3, "k3"), (P2, "k23"), (P1, "w"), (B2, "k12"), (B1, "v")):
-        g = g.join(entries.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("value").alias(f"x{kind}")), key, "left")
+        g = g.join(entries.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("value").alias(f"x{kind}")), key, "left").drop(key)
     base = entries.where((F.col("kind") == P1) & (F.col("key") == 0)).first()["value"]
     zero = F.lit(0.0)
     log_p = F.coalesce("x0", F.coalesce("x3", zero) + F.coalesce("x1", F.coalesce("x4", zero) + F.coalesce("x2", F.lit(base))))
-    some = g.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum(F.col("n") * log_p).alias("log_p"))
-    out = docs.select("doc_id", "lang").join(some, "doc_id", "left")
-    return out.select("doc_id", "lang", F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("log_p", zero).alias("log_p"))
+    return g.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n").alias("n_words"), F.sum(F.col("n") * log_p).alias("log_p")).drop("row")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, broadcast: int = BROADCAST) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, n_words, perplexity, threshold and kept of each row of docs.
 
     labels: doc_id, quality (1 is good), toxic (0 is clean); others and nulls aren't trusted. Texts
@@ -179,13 +189,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile:
     and rows with a null id get a row each; no rows give none. Other columns are not read.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    rate = min(1.0, 2 * sample / max(1, good.count()))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2_000_000))
-    chosen = durable(good.where(draw < int(rate * 2_000_000)).select("doc_id", (draw % 2 == 0).alias("trains")), "trusted")
-    train = docs.join(F.broadcast(chosen.where("trains")), "doc_id").select("text")  # about sample ids
-    entries = model(train)
+    trains = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)) == 0
+    entries = model(docs.where(trains).join(good, "doc_id", "left_semi").select("text"))
     s = durable(scored(docs, entries, broadcast).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n_words")))), "scored")
-    test = s.join(F.broadcast(chosen.where("not trains").select("doc_id")), "doc_id", "left_semi").where("perplexity is not null")
+    test = s.where(~trains).join(good, "doc_id", "left_semi").where("perplexity is not null")
     per = test.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("m")).where(F.col("m") >= LEAST)
     every = test.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     out = s.join(per, F.coalesce(s["lang"], F.lit("")) == per["l"], "left").withColumn("threshold", F.coalesce("own", F.lit(every).cast("double")))

@@ -311,3 +311,25 @@ def test_kneser_ney_sums_to_one(spark):
             doc, *keys = perplexity.trigrams(t)
             p = np.exp(s.log_p(*keys))[2::3]
         assert p.sum() == pytest.approx(1, abs=1e-5), context
+
+
+def test_kneser_ney_trains_on_a_fixed_share(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def count(texts):
+        raise Seen(texts.count())
+
+    monkeypatch.setattr(perplexity, "model", count)
+    docs = spark.range(9000).selectExpr("id as doc_id", "'a b c' as text", "'en' as lang")
+    with pytest.raises(Seen) as seen:
+        perplexity.classify(docs, docs.selectExpr("doc_id", "1 as quality", "0 as toxic"))
+    assert 4200 < seen.value.args[0] < 4800
+
+
+def test_kneser_ney_join_keeps_rows(spark):
+    rows = [(1, "a b c a b", "en"), (1, "x y", "en"), (None, "a b", None), (2, "", "fr"), (3, None, "fr"), (4, "a b c a b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    entries = perplexity.model(spark.createDataFrame([("a b c d",), ("a b",)], "text string"))
+    a, b = ([(r.doc_id, r.lang, r.n_words, round(r.log_p, 4)) for r in perplexity.scored(docs, entries, k).collect()] for k in (1000, 0))
+    assert sorted(a, key=str) == sorted(b, key=str) and len(b) == len(rows)
