@@ -9,8 +9,8 @@ The model grows with the trusted text. Up to BROADCAST entries (12 bytes each) i
 that score, as sorted arrays, and texts aren't shuffled; a larger model is joined with the
 documents' n-grams, counted for each document first, by the n-gram's hash. A document is kept when
 its perplexity is within the QUANTILE of the trusted documents of its language that the model wasn't
-trained on.
-Languages with fewer than LEAST of these take the quantile of all.
+trained on. Languages with fewer than INSIDE / (1 - quantile) of these, among which the quantile would
+be one of the INSIDE worst documents or the worst itself, take the quantile of all.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable
 from .textvec import U, Texts, mix, pieces
 
-BROADCAST, QUANTILE, LEAST = 16_000_000, 0.998, 20
+BROADCAST, QUANTILE, INSIDE = 16_000_000, 0.99, 5
 
 _START = U(0x5851F42D4C957F2D)
 _F = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
@@ -193,7 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
     entries = model(docs.where(trains).join(good, "doc_id", "left_semi").select("text"))
     s = durable(scored(docs, entries, broadcast).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n_words")))), "scored")
     test = s.where(~trains).join(good, "doc_id", "left_semi").where("perplexity is not null")
-    per = test.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("m")).where(F.col("m") >= LEAST)
+    per = test.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("m")).where(F.col("m") * (1 - quantile) >= INSIDE)
     every = test.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     out = s.join(per, F.coalesce(s["lang"], F.lit("")) == per["l"], "left").withColumn("threshold", F.coalesce("own", F.lit(every).cast("double")))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.col("n_words") > 0) & (F.col("n_words") > 0)

@@ -333,3 +333,11 @@ def test_kneser_ney_join_keeps_rows(spark):
     entries = perplexity.model(spark.createDataFrame([("a b c d",), ("a b",)], "text string"))
     a, b = ([(r.doc_id, r.lang, r.n_words, round(r.log_p, 4)) for r in perplexity.scored(docs, entries, k).collect()] for k in (1000, 0))
     assert sorted(a, key=str) == sorted(b, key=str) and len(b) == len(rows)
+
+
+def test_kneser_ney_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = perplexity.classify(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id").where("toxic = 0").collect()
+    for lang in ("de", "en", "es", "fr"):
+        good, bad = ([r.kept for r in got if r.lang == lang and r.quality == q] for q in (1, 0))
+        assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.35 * len(bad), lang
