@@ -1,14 +1,15 @@
 """Line dedup by content-defined chunks.
 
-A document's lines (split at line feeds) are hashed, and a rolling hash over the last WINDOW line
-hashes ends a chunk after about every MEAN-th line, whatever stands further away: a passage that is
-moved, or that follows other lines, falls into the same chunks but for those at its ends. A line of
-LONG words or more is a chunk of its own, so that a passage written as one long line is found too.
-Chunks end at LIMIT lines at the latest.
+A document's lines are split at line feeds. From every line that has words the shortest run of lines
+with at least MIN_WORDS words is a chunk, and so is the shortest such run up to it, of LIMIT lines at
+most. A chunk depends on its own lines alone, so any passage of whole lines and at least MIN_WORDS
+words has the same chunks wherever it stands, and they cover all of it: its first line begins one, its
+last line ends one, and each line after the first chunk ends one too. Chunks overlap.
 
-A chunk of at least MIN_WORDS words that stands in the corpus twice or more is removed everywhere
-but at its first place, by document id and then position. Hashes only find the candidates: the
-bytes of each are compared with those of the first place before anything is removed.
+A chunk that stands in the corpus twice or more is removed everywhere but at its first place, by
+document id and then position. A removed line thus always has an equal one at an earlier place. Hashes
+only find the candidates: the bytes of each are compared with those of the first place before anything
+is removed.
 
 Only hashes are shuffled for all chunks, and counted for each task first; the bytes of a chunk are
 shuffled only where its hash repeats. A hot chunk's rows meet one row of the other side, so that
@@ -19,16 +20,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import durable, enter
-from .textvec import U, mix, pieces
+from .textvec import pieces
 
-WINDOW, MEAN, LIMIT, LONG, MIN_WORDS = 2, 3, 16, 40, 20
+LIMIT, MIN_WORDS = 16, 20
 
-_SPAN = StructType([StructField("chunk", IntegerType()), StructField("hash", LongType()), StructField("lines", IntegerType()), StructField("start", LongType()), StructField("stop", LongType())])
+_SPAN = StructType([StructField("chunk", IntegerType()), StructField("hash", LongType()), StructField("line", IntegerType()), StructField("lines", IntegerType()), StructField("start", LongType()), StructField("stop", LongType())])
 
 
 def chunks(batch: pa.RecordBatch, name: str = "text", min_words: int = MIN_WORDS):
@@ -36,49 +37,38 @@ def chunks(batch: pa.RecordBatch, name: str = "text", min_words: int = MIN_WORDS
     chunk, with the Texts; and the rows' numbers of lines."""
     for i, j, t in pieces(batch, name):
         doc, s, e = t.lines()
-        h = t.hashes(s, e)
         _, ws, _ = t.words()
         words = np.bincount(np.searchsorted(s, ws, "right") - 1, minlength=len(s))
-        new = np.diff(doc, prepend=-1) != 0
-        roll = h.copy()
-        for k in range(1, WINDOW):
-            prev = np.concatenate([np.zeros(k, np.uint64), h[:-k]]) if len(h) > k else np.zeros(len(h), np.uint64)
-            far = np.concatenate([np.full(min(k, len(doc)), -1), doc[:-k]]) == doc
-            roll += np.where(far, prev, U(0)) * U(0x9E3779B97F4A7C15 + 2 * k)
-        cut = mix(roll) % U(MEAN) == 0  # a chunk ends after this line
-        cut |= words >= LONG
-        cut[:-1] |= words[1:] >= LONG
-        last = np.append(new[1:], True)
-        cut |= last
-        # no chunk of more than LIMIT lines: further ends at every LIMIT-th line of a chunk
-        begin = np.concatenate([[True], cut[:-1]])
-        at = np.arange(len(h)) - np.maximum.accumulate(np.where(begin, np.arange(len(h)), 0))
-        cut |= at % LIMIT == LIMIT - 1
-        end = np.flatnonzero(cut)
-        first = np.concatenate([[0], end[:-1] + 1])
-        d = doc[first]
-        start, stop = s[first], e[end]
-        total = np.add.reduceat(words, first)
+        upto = np.concatenate([[0], np.cumsum(words)])
+        some = np.flatnonzero(words)
+        # the shortest runs from and up to each line; as upto rises at lines with words, those are their ends
+        first = np.concatenate([some, np.searchsorted(upto, upto[some + 1] - min_words, "right") - 1])
+        end = np.concatenate([np.searchsorted(upto, upto[some] + min_words) - 1, some])
+        ok = (first >= 0) & (end < len(s)) & (end - first < LIMIT)
+        ok[ok] = doc[first[ok]] == doc[end[ok]]
+        first, end = np.divmod(np.unique(first[ok] * len(s) + end[ok]), max(1, len(s)))
+        d, start, stop = doc[first], s[first], e[end]
         number = np.arange(len(first)) - np.searchsorted(d, d)
-        yield i, j, t, d, number, t.hashes(start, stop), end - first + 1, total, start, stop, np.bincount(doc, minlength=j - i)
+        yield i, j, t, d, number, t.hashes(start, stop), end - first + 1, upto[end + 1] - upto[first], start, stop, np.bincount(doc, minlength=j - i)
 
 
 def _spans(batch: pa.RecordBatch, min_words: int) -> tuple[pa.Array, pa.Array]:
     """For each row the chunks that may be removed, positions in bytes of the text; and its lines."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     counts = np.zeros(batch.num_rows, np.int64)
     n_lines = np.zeros(batch.num_rows, np.int64)
-    for i, j, t, d, number, h, lines, total, start, stop, per_row in chunks(batch):
-        ok = total >= min_words
-        for c, v in zip(cols, (number, h.view(np.int64), lines, start - t.start[d], stop - t.start[d]), strict=True):
-            c.append(v[ok])
-        counts[i:j] = np.bincount(d[ok], minlength=j - i)
+    for i, j, t, d, number, h, lines, total, start, stop, per_row in chunks(batch, min_words=min_words):
+        begins = t.lines()[1]
+        line = np.searchsorted(begins, start) - np.searchsorted(begins, t.start[d])
+        for c, v in zip(cols, (number, h.view(np.int64), line, lines, start - t.start[d], stop - t.start[d]), strict=True):
+            c.append(v)
+        counts[i:j] = np.bincount(d, minlength=j - i)
         n_lines[i:j] = per_row
     if batch.num_rows:
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
     else:
-        flat = [np.zeros(0, np.int64)] * 5
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        flat = [np.zeros(0, np.int64)] * 6
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     values = pa.StructArray.from_arrays([pa.array(v).cast(k) for v, k in zip(flat, kinds, strict=True)], names=_SPAN.names)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values), pa.array(n_lines)
 
@@ -101,7 +91,7 @@ def _spanned(docs: DataFrame, columns: list[str], min_words: int) -> DataFrame:
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(all, gone). all: doc_id and n_lines of each row; gone: doc_id, chunk, start, stop (bytes of
-    the text), lines of each chunk that an earlier place repeats byte for byte."""
+    the text), line (its first), lines of each chunk that an earlier place repeats byte for byte."""
     all_spans = durable(_spanned(docs, ["doc_id"], min_words), "chunks")
     flat = all_spans.select("doc_id", F.explode("spans").alias("c")).select("doc_id", "c.*").where("doc_id is not null")
     # aggregates are written before their joins, so that adaptive execution can split a hot chunk's rows
@@ -110,8 +100,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     # the first place: the least doc_id and there the least chunk
     place = durable(hits.where("doc_id = first_id").groupBy("hash").agg(F.min("chunk").alias("first_chunk")), "places")
     marked = hits.join(place, "hash").withColumn("is_first", (F.col("doc_id") == F.col("first_id")) & (F.col("chunk") == F.col("first_chunk")))
-    wanted = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "hash", "start", "stop", "lines", "is_first"))).alias("w"))
-    # a document's own chunks, at most as many as its lines, with the bytes of each
+    wanted = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "hash", "start", "stop", "line", "lines", "is_first"))).alias("w"))
+    # a document's own chunks, at most twice as many as its lines, with the bytes of each
 
     def cut_out(batches):
         enter("lines")
@@ -127,17 +117,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
             view = memoryview(data)
             base = offsets[row]
             body = pa.array([bytes(view[x:y]) for x, y in zip(base + start, base + stop, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *[lists.field(c) for c in ("chunk", "hash", "start", "stop", "lines", "is_first")], body], ["doc_id", "chunk", "hash", "start", "stop", "lines", "is_first", "body"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *[lists.field(c) for c in ("chunk", "hash", "start", "stop", "line", "lines", "is_first")], body], ["doc_id", "chunk", "hash", "start", "stop", "line", "lines", "is_first", "body"])
 
-    bodies = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut_out, "doc_id long, chunk int, hash long, start long, stop long, lines int, is_first boolean, body binary")
+    bodies = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut_out, "doc_id long, chunk int, hash long, start long, stop long, line int, lines int, is_first boolean, body binary")
     bodies = durable(bodies, "bodies")
     firsts = durable(bodies.where("is_first").select("hash", F.col("body").alias("first_body")).distinct(), "firsts")
     gone = bodies.where("not is_first").join(firsts, "hash").where("body = first_body")
-    return all_spans.select("doc_id", "n_lines"), gone.select("doc_id", "chunk", "start", "stop", "lines").distinct()
+    return all_spans.select("doc_id", "n_lines"), gone.select("doc_id", "chunk", "start", "stop", "line", "lines").distinct()
 
 
 def _strip(batches):
-    """Texts without the given byte ranges, each with the line feed that follows it, or at the end of
+    """Texts without the given byte ranges, which may overlap, each with the line feed that follows it, or at the end of
     the text with the one before it."""
     for b in batches:
         if not b.num_rows:
@@ -151,8 +141,9 @@ def _strip(batches):
                 continue
             raw, kept, at = t.as_py().encode(), [], 0
             for x in c:
-                kept.append(raw[at : x["start"]])
-                at = x["stop"] + 1
+                if x["start"] > at:
+                    kept.append(raw[at : x["start"]])
+                at = max(at, x["stop"] + 1)
             kept.append(raw[at:])
             if at > len(raw) and at > 0 and b"".join(kept[-2:-1]).endswith(b"\n"):
                 kept[-2] = kept[-2][:-1]  # the text's last line went: so does the line feed before it
@@ -174,15 +165,26 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
+def _covered(runs: Column) -> Column:
+    """How many lines runs (line, lines), in order, cover."""
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+
+    def add(state, r):
+        end = F.greatest(state["end"], r["line"] + r["lines"])
+        return F.struct(end.alias("end"), (state["n"] + end - F.greatest(state["end"], F.least(r["line"], end))).alias("n"))
+
+    return F.aggregate(runs, none, add, lambda state: state["n"])
+
+
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines) and removed (byte ranges in order) of each row of docs.
+    """doc_id, n_lines, n_removed (lines) and removed (byte ranges in order, which may overlap) of each row of docs.
 
     A null or empty text has one empty line and loses nothing; a row with a null doc_id loses
     nothing and lends nothing; of rows that repeat a doc_id all have the same ranges, of the text
     that the id stands for; no rows give none. Other columns are not read.
     """
     lines, gone = repeats(docs, min_words)
-    cuts = gone.groupBy("doc_id").agg(F.sum("lines").alias("n_removed"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    cuts = gone.groupBy("doc_id").agg(_covered(F.sort_array(F.collect_list(F.struct("line", "lines")))).alias("n_removed"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     out = lines.join(cuts, "doc_id", "left")
     return out.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("removed"))
 

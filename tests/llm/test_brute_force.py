@@ -341,3 +341,27 @@ def test_kneser_ney_labels(spark):
     for lang in ("de", "en", "es", "fr"):
         good, bad = ([r.kept for r in got if r.lang == lang and r.quality == q] for q in (1, 0))
         assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.35 * len(bad), lang
+
+
+def test_lines_short_passages(spark):
+    """Passages of 50 to 80 words in short lines lose every line at their second place, and nothing else goes."""
+    rng, rows, gone = np.random.default_rng(5), [], {}
+
+    def run(seed, least):
+        out = []
+        while sum(len(x.split()) for x in out) < least:
+            out.append(prose(100_000 + seed * 50 + len(out), int(rng.integers(6, 25))))
+        return out
+
+    for k in range(60):
+        passage = run(3 * k, int(rng.integers(50, 80)))
+        rows.append((k, "\n".join([*run(3 * k + 1, 30), *passage, f"end {k}"])))
+        copy = [f"begin {k}", *run(3 * k + 2, 30)]
+        gone[1000 + k] = len(passage)
+        rows.append((1000 + k, "\n".join([*copy, *passage, f"other {k}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_report(docs).collect()} == {d: gone.get(d, 0) for d, _ in rows}
+    texts = dict(rows)
+    for r in line_dedup.without_repeats(docs).collect():
+        earlier = set(texts[r.doc_id - 1000].split("\n")) if r.doc_id in gone else set()
+        assert r.text.split("\n") == [x for x in texts[r.doc_id].split("\n") if x not in earlier]
