@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunking import top
+from .durable import durable
 
 BLOCK = 1024
 
@@ -63,6 +64,38 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None =
     return top(pairs.mapInArrow(near, "query_id long, vec_id long, score double"), "query_id", F.col("score"), F.col("vec_id"), k)
 
 
+def best_pairs(vectors: DataFrame, k: int, least: float, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """a, b, score: of all pairs a < b with a cosine (1e-9 in the denominator) of at least `least`, the k
+    best; of equal scores the larger a, then the larger b.
+
+    Blocks meet by pairs of their numbers, a matrix product each, which gives k rows at most. The work
+    grows with the square of the number of vectors, the rows with that of the blocks.
+    """
+    blocks = durable(_blocks(vectors, vec_id, embedding, BLOCK).withColumn("number", F.monotonically_increasing_id()), "pair-blocks")
+    one, two = (blocks.select(F.col("number").alias(f"{s}_number"), F.col("ids").alias(f"{s}_ids"), F.col("vecs").alias(f"{s}_vecs")) for s in ("a", "b"))
+    numbers = one.select("a_number").crossJoin(two.select("b_number")).where("a_number <= b_number")
+
+    def near(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                ai, bi = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
+                x, y = np.frombuffer(r["a_vecs"]).reshape(len(ai), -1), np.frombuffer(r["b_vecs"]).reshape(len(bi), -1)
+                s = x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + 1e-9)
+                ok = (s >= least) & (ai[:, None] != bi[None])
+                if r["a_number"] == r["b_number"]:
+                    ok &= ai[:, None] < bi[None]
+                i, j = np.nonzero(ok)
+                lo, hi, v = np.minimum(ai[i], bi[j]), np.maximum(ai[i], bi[j]), s[i, j]
+                if len(v) > k:
+                    some = v >= np.partition(v, -k)[-k]
+                    lo, hi, v = lo[some], hi[some], v[some]
+                best = np.lexsort((-hi, -lo, -v))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array(lo[best]), pa.array(hi[best]), pa.array(v[best])], ["a", "b", "score"])
+
+    both = numbers.join(one, "a_number").join(two, "b_number").select("a_number", "a_ids", "a_vecs", "b_number", "b_ids", "b_vecs")
+    return both.mapInArrow(near, "a long, b long, score double").orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(k)
+
+
 def normalized(hits: DataFrame) -> DataFrame:
     """score by the largest of its query; a largest of 0 counts as 1."""
     most = F.max("score").over(Window.partitionBy("query_id"))

@@ -121,6 +121,13 @@ def fuzzy_pairs(spark, sf):
     return near.orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(60).select("a", "b", F.round("score", 6).alias("score"))
 
 
+@query()
+def fuzzy_pairs_all(spark, sf):
+    """All pairs of the table, as the reference's operator takes them; fuzzy_pairs and its SQL take those with
+    an id divisible by 50 on one side. No SQL: compared with brute force."""
+    return vectors.best_pairs(table(spark, sf, "embeddings"), 60, 0.35).select("a", "b", F.round("score", 6).alias("score"))
+
+
 _FUSE = """kn as (select query_id, doc_id, 0.5 * score / max(score) over (partition by query_id) as part from keyword), dn as (select query_id, doc_id, 0.5 * score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) as part from dense),
 fused as (select query_id, doc_id, round(sum(part), 4) as score from (select * from kn union all select * from dn) z group by all)"""
 
