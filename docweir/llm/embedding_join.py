@@ -228,17 +228,23 @@ def _near(boxes: DataFrame, k: int, limit: float) -> DataFrame:
 def join(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors.
 
-    A vector that is null, empty or zero or holds a null or non-finite component links with nothing,
-    and so does one whose number of components isn't that of most vectors (of several such numbers,
-    the largest). A row with a null id isn't compared and has no links and a null component. Each row
+    A vector that is null, empty or zero or holds a null or non-finite component links with nothing.
+    Vectors link with those of as many components; each such number, of which there are few, is joined
+    on its own. A row with a null id isn't compared and has no links and a null component. Each row
     of a repeated id counts as a vector. No rows give none. Other columns are not read.
     """
     rows = durable(_prepared(vectors, vec_id, embedding), "vectors")
-    dims = rows.where("key is not null and vec_id is not null").groupBy(F.length("key").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    if dims is None:
-        return _result(rows, None, None)
-    dim = dims["size"] // 8
-    usable = rows.where((F.length("key") == dims["size"]) & F.col("vec_id").isNotNull())
+    usable = rows.where("key is not null and vec_id is not null")
+    sizes = sorted(r[0] for r in usable.select(F.length("key")).distinct().collect())
+    classes = None
+    for size in sizes:
+        some = _linked(usable.where(F.length("key") == size), size // 8, threshold)
+        classes = some if classes is None else classes.union(some)
+    return _result(rows, classes)
+
+
+def _linked(usable: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """key, links and component of each class of equal vectors of dim components."""
     classes = durable(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     k = min(AXES, dim)
     axes = _axes(classes, dim, k)
@@ -253,15 +259,14 @@ def join(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", emb
     links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = components(found.where("n = 0").select("a", "b"))
     classes = classes.join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = durable(classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "linked")
-    return _result(rows, classes, dims["size"])
+    return durable(classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "linked")
 
 
-def _result(rows: DataFrame, classes: DataFrame | None, size: int | None) -> DataFrame:
+def _result(rows: DataFrame, classes: DataFrame | None) -> DataFrame:
     if classes is None:
         rows = rows.withColumn("links", F.lit(0)).withColumn("component", F.col("vec_id"))
     else:
-        key = F.when((F.length("key") == size) & F.col("vec_id").isNotNull(), F.col("key"))
+        key = F.when(F.col("vec_id").isNotNull(), F.col("key"))
         rows = rows.select("vec_id", key.alias("key")).join(classes, "key", "left")
     component = F.coalesce("component", "vec_id")
     return rows.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -99,6 +99,12 @@ def test_vectors(spark):
     assert embedding_join.join(v.limit(0)).count() == 0 and embedding_join.join(v.where("vec_id in (4, 5)")).count() == 2
 
 
+def test_vectors_of_several_dimensions(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.0]), (4, [1.0, 0.1, 0.0]), (5, [1.0, 0.0]), (6, [0.0, 1.0, 0.0]), (7, [3.0]), (8, [0.0, 0.0, 0.0])]
+    got = sorted(tuple(r) for r in embedding_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == [(1, 2, 1, True), (2, 1, 2, True), (3, 2, 1, False), (4, 1, 2, False), (5, 2, 1, False), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True)]
+
+
 def test_pipeline(odd, spark):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
