@@ -2,7 +2,8 @@
 
 Every rule votes good or bad on a document or abstains. How often each rule gives each vote on good
 and on bad documents is estimated by expectation-maximisation (Dawid and Skene), from nothing but
-the votes; the posterior probability of good replaces the demand that a document pass all rules.
+the votes; the posterior probability of good replaces the demand that a document pass all rules. Rules
+overlap (symbols and letters, repeats and variety), as agreement is what tells a good rule from a noisy one.
 
 The votes of a corpus are counted by pattern, of which there are at most 3 ** len(RULES), so what
 reaches the driver has a fixed bound. Counts cover all documents.
@@ -20,7 +21,7 @@ from .textvec import SPACE, by_doc, mix, ngrams, pieces
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What the rules read besides the measures of the contract.
-MORE = ["n_lines", "n_upper", "n_letters", "n_bars", "n_shouts", "n_stops"]
+MORE = ["n_lines", "n_upper", "n_letters", "n_bars", "n_shouts", "n_stops", "n_beyond", "n_distinct"]
 
 _FLAGS = {c: np.isin(np.arange(256), list(s)) for c, s in {"n_symbols": b"#*$%&|<>", "n_bars": b"|", "n_shouts": b"!", "n_stops": b".?"}.items()}
 _UPPER = np.isin(np.arange(256), list(range(65, 91)))
@@ -41,6 +42,8 @@ def measure(batch: pa.RecordBatch, name: str = "text") -> dict[str, np.ndarray]:
             put(c, t.total(flags[t.buf]))
         put("n_upper", t.total(_UPPER[t.buf]))
         put("n_letters", t.total(_LETTER[t.buf]))
+        put("n_beyond", t.total(t.buf >= 0xC0))  # code points beyond ASCII
+        put("n_distinct", np.bincount(doc[np.unique(by_doc(doc, word), return_index=True)[1]], minlength=n))
         ld, ls, le = t.lines()
         full = np.zeros(len(ls), bool)
         full[np.searchsorted(ls, s, "right") - 1] = True
@@ -82,6 +85,8 @@ def rules() -> dict[str, Column]:
     length = F.col("word_chars") / words
     letters = F.when(F.col("n_letters") > 20, F.col("n_letters"))
     lines = F.when(F.col("n_lines") > 3, F.col("n_lines"))
+    alpha = (F.col("n_letters") + F.col("n_beyond")) / F.when(F.col("n_words") > 0, F.col("word_chars"))
+    variety = F.when(words >= 50, F.col("n_distinct") / F.sqrt(words))
     return {
         "symbols": _three(share("n_symbols"), share("n_symbols") > 0.3, share("n_symbols") < 0.1),
         "repeats": _three(share("n_repeat_words"), share("n_repeat_words") > 0.4, share("n_repeat_words") < 0.3),
@@ -92,6 +97,8 @@ def rules() -> dict[str, Column]:
         "bars": _three(share("n_bars"), share("n_bars") > 0.2, share("n_bars") < 0.05),
         "stops": _three(words, (words >= 100) & (share("n_stops") < 0.002), share("n_stops") >= 0.005),
         "words": _three(F.col("n_words"), F.col("n_words") < 20, F.col("n_words") >= 50),
+        "letters": _three(alpha, alpha < 0.75, alpha >= 0.8),
+        "variety": _three(variety, variety < 4, variety >= 5),
     }
 
 
@@ -104,14 +111,38 @@ def pattern() -> Column:
     return sum((v * 3**i for i, v in enumerate(rules().values())), F.lit(0)).cast("int")
 
 
-def estimate(counts: dict[int, int], n_rules: int, rounds: int = 200, false_alarms: float = 0.005) -> dict[int, float]:
+def _fit(votes: np.ndarray, n: np.ndarray, share: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float, np.ndarray]:
+    """(share, log likelihood, table) after expectation-maximisation from share (patterns x classes).
+    table: class x rule x vote. A Beta (Dirichlet) prior of half a document a vote keeps all of them positive."""
+    n_rules, last = votes.shape[1], -np.inf
+    hot = (votes[:, :, None] == np.arange(3)).astype(float).reshape(len(votes), -1)
+    for _ in range(rounds):
+        part = share * n[:, None]
+        prior = (part.sum(0) + 1) / (n.sum() + share.shape[1])
+        table = (part.T @ hot).reshape(-1, n_rules, 3) + 0.5
+        table /= table.sum(2, keepdims=True)
+        log = np.log(prior)[None] + hot @ np.log(table).reshape(len(table), -1).T
+        most = log.max(1, keepdims=True)
+        share = np.exp(log - most)
+        total = share.sum(1, keepdims=True)
+        share /= total
+        fit = float(n @ (most + np.log(total))[:, 0])
+        if fit - last <= 1e-9 * abs(fit):
+            break
+        last = fit
+    return share, fit, table
+
+
+def estimate(counts: dict[int, int], n_rules: int) -> dict[int, float]:
     """The posterior probability of good for each pattern of votes, by expectation-maximisation.
 
-    Bad documents differ in kind (one is all capitals, another all symbols) and rules only agree
-    within a kind, so there is one class of good documents and one class of bad ones for each rule,
-    which starts with the patterns that the rule calls bad. The rules are written so that good
-    documents seldom get a bad vote: none gives one to more than the share false_alarms of the good
-    documents, which also says which class is the good one. No pattern gives no posterior.
+    Each class of documents gives each rule's votes independently, at rates that are estimated from the
+    votes of all documents; none is given or held. Bad documents differ in kind (one is all capitals,
+    another all symbols), so there may be several bad classes. The fit starts with one for each rule,
+    holding what the rule calls bad, and drops classes as long as Akaike's information criterion gets
+    better. A class is good if its documents expect less than one bad vote: a single rule that cries
+    wolf thus is part of the good class and outvoted, rules that agree make a bad class. No pattern gives
+    no posterior.
     """
     if not counts:
         return {}
@@ -119,35 +150,30 @@ def estimate(counts: dict[int, int], n_rules: int, rounds: int = 200, false_alar
     votes = np.array([[k // 3**i % 3 for i in range(n_rules)] for k in keys])
     n = np.array([counts[k] for k in keys], float)
     bad = votes == 0
-    share = np.where(bad.any(1)[:, None], 0.95 * bad / np.maximum(bad.sum(1), 1)[:, None], 0.05 / n_rules)
-    share = np.concatenate([1 - share.sum(1, keepdims=True), share], 1)  # patterns x classes, 0 is good
-    for _ in range(rounds):
-        part = share * n[:, None]
-        prior = (part.sum(0) + 0.1) / (n.sum() + 0.1 * share.shape[1])
-        # class x rule x vote, smoothed by a part of a document for each vote
-        table = np.stack([np.stack([part[votes[:, r] == v].sum(0) + 0.1 for v in range(3)], 1) for r in range(n_rules)], 1)
-        table /= table.sum(2, keepdims=True)
-        alarm = np.minimum(table[0, :, 0], false_alarms)
-        table[0, :, 1:] *= ((1 - alarm) / (1 - table[0, :, 0]))[:, None]
-        table[0, :, 0] = alarm
-        log = np.log(prior)[None] + sum(np.log(table[:, r, :]).T[votes[:, r]] for r in range(n_rules))
-        log -= log.max(1, keepdims=True)
-        after = np.exp(log)
-        after /= after.sum(1, keepdims=True)
-        done = np.abs(after - share).max() < 1e-9
-        share = after
-        if done:
+    share = np.where(bad.any(1)[:, None], 0.95 * bad / np.maximum(bad.sum(1), 1)[:, None], 0.05 / n_rules)[:, (n @ bad) > 0]
+    share = np.concatenate([1 - share.sum(1, keepdims=True), share], 1)  # patterns x classes
+    cost = lambda classes: classes * (2 * n_rules + 1)
+    share, fit, table = _fit(votes, n, share)
+    score = fit - cost(share.shape[1])
+    while share.shape[1] > 1:
+        fits = []
+        for k in range(share.shape[1]):
+            rest = np.delete(share, k, 1) + 1e-6
+            fits.append(_fit(votes, n, rest / rest.sum(1, keepdims=True), 60))
+        best = max(range(len(fits)), key=lambda k: fits[k][1])
+        if fits[best][1] - cost(len(fits) - 1) < score:
             break
-    return {k: float(g) for k, g in zip(keys, share[:, 0], strict=True)}
+        share, fit, table = fits[best]
+        score = fit - cost(share.shape[1])
+    share, _, table = _fit(votes, n, share)
+    good = table[:, :, 0].sum(1) < 1
+    return {k: float(g) for k, g in zip(keys, share[:, good].sum(1), strict=True)}
 
 
-def posterior(spark: SparkSession, by_pattern: DataFrame) -> Column:
-    """The posterior of a row with a column pattern. by_pattern: pattern, n."""
+def posterior(spark: SparkSession, by_pattern: DataFrame) -> DataFrame:
+    """pattern and p_good of each pattern of by_pattern (pattern, n), 3 ** len(RULES) rows at most."""
     est = estimate({r[0]: r[1] for r in by_pattern.collect()}, len(rules()))
-    if not est:
-        return F.lit(None).cast("double")
-    table = F.create_map([F.lit(x) for kv in sorted(est.items()) for x in kv])
-    return table[F.col("pattern")]
+    return F.broadcast(spark.createDataFrame(sorted(est.items()), "pattern int, p_good double"))
 
 
 def _measured(batch: pa.RecordBatch, key: str) -> pa.RecordBatch:
@@ -156,7 +182,8 @@ def _measured(batch: pa.RecordBatch, key: str) -> pa.RecordBatch:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of each row of docs."""
+    """doc_id and the measures of each row of docs; a null text counts as empty, repeated rows get a row
+    each, no rows give none."""
     return arrow_map(docs, ["doc_id", "text"], lambda b: _measured(b, "doc_id"), "doc_id long, " + ", ".join(f"{c} long" for c in [*MEASURES, *MORE]))
 
 
@@ -168,7 +195,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     m = durable(measured(docs).withColumn("pattern", pattern()), "measures")
     p = posterior(docs.sparkSession, m.groupBy("pattern").agg(F.count("*").alias("n")))
-    return m.withColumn("p_good", p).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    return m.join(p, "pattern").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -189,7 +216,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     flat = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_docweir_row"), measures(F.col("text")).alias("_docweir_m"))
     flat = flat.select("_docweir_row", *[F.col("_docweir_m")[c].alias(c) for c in names])
-    kept = flat.withColumn("pattern", pattern()).where(~base_failed()).where(p >= threshold)
+    kept = flat.withColumn("pattern", pattern()).where(~base_failed()).join(p.where(F.col("p_good") >= threshold), "pattern", "left_semi")
     return kept.select(*[F.col("_docweir_row")[c].alias(c) for c in docs.columns])
 
 
