@@ -11,8 +11,9 @@ document id and then position. A removed line thus always has an equal one at an
 only find the candidates: the bytes of each are compared with those of the first place before anything
 is removed.
 
-Only hashes are shuffled for all chunks, and counted for each task first; the bytes of a chunk are
-shuffled only where its hash repeats. A hot chunk's rows meet one row of the other side, so that
+Hashes are shuffled for all chunks, and counted for each task first. Texts are shuffled once, by id and
+digest, to the chunks of theirs whose hash repeats, and once more to be cut; the bytes of a chunk are
+written only where its hash repeats. A hot chunk's rows meet one row of the other side, so that
 adaptive execution can split them.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import durable, enter
+from .common import bounded, durable, enter, forget
 from .textvec import pieces
 
 LIMIT, MIN_WORDS = 16, 20
@@ -89,18 +90,32 @@ def _spanned(docs: DataFrame, columns: list[str], min_words: int) -> DataFrame:
     return docs.select(*columns, "text").mapInArrow(run, schema)
 
 
+def _digest(text: str = "text") -> Column:
+    """128 bits that tell the texts of a repeated id apart."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(all, gone). all: doc_id and n_lines of each row; gone: doc_id, chunk, start, stop (bytes of
-    the text), line (its first), lines of each chunk that an earlier place repeats byte for byte."""
-    all_spans = durable(_spanned(docs, ["doc_id"], min_words), "chunks")
-    flat = all_spans.select("doc_id", F.explode("spans").alias("c")).select("doc_id", "c.*").where("doc_id is not null")
+    """(all, gone). all: doc_id, digest (of the text) and n_lines of each row; gone: doc_id, digest, chunk,
+    start, stop (bytes of the text), line (its first), lines of each chunk that an earlier place repeats
+    byte for byte.
+
+    A place is an id, a text and a position: rows that repeat an id and a text are one place, rows of one
+    id with different texts are several, in the order of their digests. Rows with a null id or text take
+    no part; no rows give none.
+    """
+    bounded(docs.sparkSession)
+    known = docs.select("doc_id", _digest().alias("digest"), "text")
+    all_spans = durable(_spanned(known, ["doc_id", "digest"], min_words), "chunks")
+    flat = all_spans.where("doc_id is not null").select("doc_id", "digest", F.explode("spans").alias("c")).select("doc_id", "digest", "c.*")
     # aggregates are written before their joins, so that adaptive execution can split a hot chunk's rows
     seen = durable(flat.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"), "repeated")
     hits = durable(flat.join(seen.drop("n"), "hash"), "hits")
-    # the first place: the least doc_id and there the least chunk
-    place = durable(hits.where("doc_id = first_id").groupBy("hash").agg(F.min("chunk").alias("first_chunk")), "places")
-    marked = hits.join(place, "hash").withColumn("is_first", (F.col("doc_id") == F.col("first_id")) & (F.col("chunk") == F.col("first_chunk")))
-    wanted = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "hash", "start", "stop", "line", "lines", "is_first"))).alias("w"))
+    # the first place: the least doc_id, there the least digest, there the least chunk
+    place = durable(hits.where("doc_id = first_id").groupBy("hash").agg(F.min(F.struct("digest", "chunk")).alias("first")), "places")
+    is_first = (F.col("doc_id") == F.col("first_id")) & (F.col("digest") == F.col("first.digest")) & (F.col("chunk") == F.col("first.chunk"))
+    marked = hits.join(place, "hash").withColumn("is_first", is_first)
+    wanted = marked.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(F.struct("chunk", "hash", "start", "stop", "line", "lines", "is_first"))).alias("w"))
     # a document's own chunks, at most twice as many as its lines, with the bytes of each
 
     def cut_out(batches):
@@ -108,7 +123,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, texts, w = b.column(0), b.column(1), b.column(2)
+            texts, w = b.column(2), b.column(3)
             lists, off = w.flatten(), np.diff(w.offsets.to_numpy())
             row = np.repeat(np.arange(b.num_rows), off)
             raw = texts.cast(pa.large_binary())
@@ -117,13 +132,17 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
             view = memoryview(data)
             base = offsets[row]
             body = pa.array([bytes(view[x:y]) for x, y in zip(base + start, base + stop, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *[lists.field(c) for c in ("chunk", "hash", "start", "stop", "line", "lines", "is_first")], body], ["doc_id", "chunk", "hash", "start", "stop", "line", "lines", "is_first", "body"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[lists.field(c) for c in ("chunk", "hash", "start", "stop", "line", "lines", "is_first")], body], ["doc_id", "digest", "chunk", "hash", "start", "stop", "line", "lines", "is_first", "body"])
 
-    bodies = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(cut_out, "doc_id long, chunk int, hash long, start long, stop long, line int, lines int, is_first boolean, body binary")
-    bodies = durable(bodies, "bodies")
+    bodies = known.join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "w")
+    bodies = durable(bodies.mapInArrow(cut_out, "doc_id long, digest binary, chunk int, hash long, start long, stop long, line int, lines int, is_first boolean, body binary"), "bodies")
     firsts = durable(bodies.where("is_first").select("hash", F.col("body").alias("first_body")).distinct(), "firsts")
     gone = bodies.where("not is_first").join(firsts, "hash").where("body = first_body")
-    return all_spans.select("doc_id", "n_lines"), gone.select("doc_id", "chunk", "start", "stop", "line", "lines").distinct()
+    gone = durable(gone.select("doc_id", "digest", "chunk", "start", "stop", "line", "lines").distinct(), "gone")
+    for t in (seen, hits, place, bodies, firsts):
+        forget(t)
+    return all_spans.select("doc_id", "digest", "n_lines"), gone
 
 
 def _strip(batches):
@@ -154,11 +173,15 @@ def _strip(batches):
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the repeated chunks taken out of text (and n_chars, if there, counted anew).
 
-    Every row stays, also one whose text becomes empty; other columns stay as they are.
+    Every row stays, also one whose text becomes empty; other columns stay as they are. A row is cut by
+    the ranges of its own id and text, so that of an id with several texts each loses what is its own.
+    Null and empty texts and rows with a null id stay as they are; no rows give none.
     """
     _, gone = repeats(docs, min_words)
-    cuts = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_docweir_cuts"))
-    joined = docs.join(cuts, "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_docweir_cuts")
+    cuts = gone.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_docweir_cuts"))
+    cuts = cuts.select(F.col("doc_id").alias("_docweir_id"), F.col("digest").alias("_docweir_digest"), "_docweir_cuts")
+    joined = docs.join(cuts, (docs["doc_id"] == F.col("_docweir_id")) & (_digest() == F.col("_docweir_digest")), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_docweir_cuts")
     out = joined.mapInArrow(_strip, StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
@@ -180,12 +203,12 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed (lines) and removed (byte ranges in order, which may overlap) of each row of docs.
 
     A null or empty text has one empty line and loses nothing; a row with a null doc_id loses
-    nothing and lends nothing; of rows that repeat a doc_id all have the same ranges, of the text
-    that the id stands for; no rows give none. Other columns are not read.
+    nothing and lends nothing; rows that repeat an id and a text are one place and have the same ranges,
+    rows that repeat an id with another text have their own; no rows give none. Other columns are not read.
     """
     lines, gone = repeats(docs, min_words)
-    cuts = gone.groupBy("doc_id").agg(_covered(F.sort_array(F.collect_list(F.struct("line", "lines")))).alias("n_removed"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    out = lines.join(cuts, "doc_id", "left")
+    cuts = gone.groupBy("doc_id", "digest").agg(_covered(F.sort_array(F.collect_list(F.struct("line", "lines")))).alias("n_removed"), F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    out = lines.join(cuts, ["doc_id", "digest"], "left")
     return out.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("removed"))
 
 
