@@ -11,39 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from docweir.llm import bpe, common, jaccard_join, line_dedup, mixing, quality_rules
 
 
-def _bounded(spark: SparkSession) -> None:
-    """Batches of 2000 texts at most, so that Python workers and the JVM hold few megabytes each."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    _bounded(spark)
+    """Documents that the rules reject go. Null and empty texts go with them; rows need no key, so repeated
+    rows and null ids are judged each; columns stay as they are; no rows give none."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chunks of lines that an earlier place repeats go; every document stays."""
-    _bounded(spark)
+    """Chunks of lines that an earlier place repeats go; every document stays. A row is cut by the ranges of
+    its own id and text; null texts and null ids stay as they are; no rows give none."""
     return line_dedup.without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id. Word shingles of five at a
-    similarity of 0.8 or more, as near-duplicate stages take."""
-    _bounded(spark)
+    similarity of 0.8 or more, as near-duplicate stages take. Null and empty texts and null ids link with
+    nothing and stay; rows that repeat an id stay or go together; no rows give none."""
     return jaccard_join.keep_one(docs, n=5, num=80, den=100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row for each document and time that its words are taken."""
-    _bounded(spark)
+    """Sources at their target weights: a row for each document and time that its words are taken. Null and
+    empty texts are never taken; rows that repeat an id or have none are taken each for itself; no rows give
+    none."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
-    _bounded(spark)
+    """Token counts and digests of the ids and of what they decode to, a row for each row; a null text counts
+    as empty; no rows give none."""
     return bpe.token_digests(docs)
 
 
