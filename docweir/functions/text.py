@@ -73,9 +73,11 @@ def strip_fence(x: Column) -> Column:
     return strip(F.regexp_replace(strip(x), r"(?s)^```[A-Za-z]*\s*\n?(.*?)\n?```$", "$1"))
 
 
-def lenient_json(x: Column) -> Column:
-    """The text as JSON, else its part from the first brace to the last, else null; as a variant."""
-    return F.coalesce(F.try_parse_json(strip_fence(x)), F.try_parse_json(F.regexp_extract(x, r"(?s)\{.*\}", 0)))
+def lenient_json(x: Column, default: str | None = "{}") -> Column:
+    """The text as JSON, else its part from the first brace to the last, else the default (null for
+    none, as where a caller must tell an answer from no answer); as a variant."""
+    found = F.coalesce(F.try_parse_json(strip_fence(x)), F.try_parse_json(F.regexp_extract(x, r"(?s)\{.*\}", 0)))
+    return found if default is None else F.coalesce(found, F.parse_json(F.lit(default)))
 
 
 def focus_entities(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ VERBS = [
     ("THAM_CHIEU", r"tham\s+chiếu|dẫn\s+chiếu|hiện\s+hành"),
     ("CAN_CU", r"theo\s+Điều\s+\d+|căn\s+cứ|tuân\s+thủ|phù\s+hợp\s+với|theo\s+quy\s+định\s+tại"),
 ]
+#: The word that each form of a verb begins with: without it in a window there is nothing to look for.
+BEGINS = [["thay"], ["ưu"], ["áp", "thay"], ["tham", "dẫn", "hiện"], ["theo", "căn", "tuân", "phù"]]
 PARTIAL = r"một\s+phần|riêng|tiếp\s+tục\s+có\s+hiệu\s+lực|giữ\s+hiệu\s+lực"
 SCOPE = r"Phụ\s+lục\s+\d+[^.;\n]{0,80}"
 BEFORE, AFTER = 150, 300
@@ -24,10 +28,11 @@ BEFORE, AFTER = 150, 300
 
 def classify(before: Column, after: Column) -> Column:
     """The relation of the verb nearest to the number; of equally near ones the first, before first."""
-    seen = []
+    seen, low = [], [F.lower(before), F.lower(after)]
     for i, (name, verb) in enumerate(VERBS):
-        head = F.regexp_extract(before, rf"(?siuU)^(.*(?:{verb}))", 1)
-        at = F.regexp_instr(after, F.lit(rf"(?siuU)(?:{verb})"))
+        some = [reduce(lambda a, b: a | b, [x.contains(w) for w in BEGINS[i]]) for x in low]
+        head = F.when(some[0], F.regexp_extract(before, rf"(?siuU)^(.*(?:{verb}))", 1)).otherwise("")
+        at = F.when(some[1], F.regexp_instr(after, F.lit(rf"(?siuU)(?:{verb})"))).otherwise(0)
         seen.append(F.when(head != "", F.struct((F.length(before) - F.length(head)).alias("far"), F.lit(2 * i).alias("turn"), F.lit(name).alias("type"))))
         seen.append(F.when(at > 0, F.struct((at - 1).alias("far"), F.lit(2 * i + 1).alias("turn"), F.lit(name).alias("type"))))
     return F.array_min(F.filter(F.array(*seen), lambda s: s.isNotNull()))["type"]

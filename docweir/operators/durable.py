@@ -2,41 +2,80 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on one machine (a local
+    master, as in tests); on a cluster, where executors would each write to their own disk, an error."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("docweir.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-docweir-")
         spark.conf.set("docweir.shared.dir", where)
     return where.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: The folder of what this process writes, below the shared one, and the tables of the open scopes.
+_RUN = f"docweir-{uuid.uuid4().hex}"
+_scopes: list[list[str]] = []
+_runs: set[str] = set()
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that what follows neither
-    repeats its work nor depends on an executor that may be lost."""
+    repeats its work nor depends on an executor that may be lost. The process's tables are deleted when it
+    ends, or as a scope() around them ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docweir-{name}-{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/{_RUN}"
+    if run not in _runs:
+        _runs.add(run)
+        atexit.register(_end, spark, run)
+    path = f"{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docweir_path = path
     return out
 
 
+def _end(spark: SparkSession, run: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        _delete(spark, run)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the durable tables that are written inside as it ends, also after a failure. What is
+    wanted of them must have been written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what durable() wrote for df; only for tables that nothing reads any more."""
     path = getattr(df, "_docweir_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 40) -> DataFrame:

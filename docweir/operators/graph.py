@@ -72,15 +72,19 @@ def canonical(vertices: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return v.join(best, key).select(F.col("entity_id").alias("old"), F.col("best.entity_id").alias("new")).where("old <> new")
 
 
-def dedupe_parallel(edges: DataFrame) -> DataFrame:
-    """Of an edge and its reverse of the same relation, the one with special properties (partial or
-    scope) stays, else the one with more of them, else the one from the smaller id."""
-    a, b = edges.alias("a"), edges.select(F.col("src").alias("r_src"), F.col("dst").alias("r_dst"), F.col("relation").alias("r_rel"), F.col("partial").alias("r_partial"), F.col("scope").alias("r_scope"))
-    both = a.join(b, (F.col("a.src") == F.col("r_dst")) & (F.col("a.dst") == F.col("r_src")) & (F.col("a.relation") == F.col("r_rel")), "left")
-    own = F.coalesce("partial", F.lit(False)).cast("int") + F.col("scope").isNotNull().cast("int")
-    other = F.coalesce("r_partial", F.lit(False)).cast("int") + F.col("r_scope").isNotNull().cast("int")
-    wins = F.col("r_src").isNull() | (own > other) | ((own == other) & (F.col("src") < F.col("dst")))
-    return both.where(wins).select("src", "dst", "relation", "partial", "scope")
+def dedupe_parallel(edges: DataFrame, properties: tuple[str, ...] = ("partial", "scope", "uu_tien_cho", "loai")) -> DataFrame:
+    """Of an edge and its reverse of the same relation, the one with special properties (those of
+    `properties` that edges have; false counts as none) stays, else the one with more of them, else the one
+    from the smaller id."""
+    has = [p for p in properties if p in edges.columns]
+    weight = sum((F.coalesce(F.col(p), F.lit(False)).cast("int") if edges.schema[p].dataType.typeName() == "boolean" else F.col(p).isNotNull().cast("int") for p in has), F.lit(0))
+    e = edges.withColumn("_weight", weight)
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", F.col("_weight").alias("_other"))
+    # several reverse edges of a relation count as the heaviest of them
+    back = back.where("relation is not null").groupBy("src", "dst", "relation").agg(F.max("_other").alias("_other"))
+    both = e.join(back, ["src", "dst", "relation"], "left")
+    wins = F.col("_other").isNull() | (F.col("_weight") > F.col("_other")) | ((F.col("_weight") == F.col("_other")) & (F.col("src") < F.col("dst")))
+    return both.where(wins).select(*edges.columns)
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, hops: int = 1) -> DataFrame:
@@ -140,12 +144,14 @@ def stamped(vertices: DataFrame, documents: DataFrame) -> DataFrame:
     return vertices.join(d, "file_path", "left").withColumn("document_id", F.coalesce("document_id", "_id")).drop("_id")
 
 
-def contains_lookup(numbers: DataFrame, vertices: DataFrame, width: int) -> DataFrame:
-    """number, entity_id: the least id that contains each number (number, of width characters or fewer).
+def contains_lookup(numbers: DataFrame, vertices: DataFrame, width: int | None = None) -> DataFrame:
+    """number, entity_id: the least id that contains each number (number, of width characters or fewer;
+    without it, as long as the longest).
 
     Every stretch of an id as long as a number is looked up, so the join is on equality; an id has as
     many stretches as its length for each length that numbers have.
     """
+    width = width or numbers.agg(F.max(F.length("number"))).first()[0] or 1
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.length("entity_id"), F.lit(width))))
     parts = vertices.select("entity_id", sizes.alias("size"))
     starts = F.explode(F.sequence(F.lit(1), F.length("entity_id") - F.col("size") + 1))

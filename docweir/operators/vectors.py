@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from .chunking import top
 from .durable import durable
 
 BLOCK = 1024
+#: Bytes of query blocks that go to every executor; blocks that meet in a group.
+BROADCAST, PART = 64 << 20, 16
 
 
 def cosine(a: str, b: str):
@@ -20,80 +24,129 @@ def cosine(a: str, b: str):
 
 
 def _blocks(rows: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
-    """ids and values of up to size vectors a row."""
+    """ids and values of up to size vectors a row, all of dim components. Null vectors are left out."""
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, size):
-                part = b.slice(i, size)
-                v = np.array(part.column(1).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_pylist([{"ids": part.column(0).to_numpy().astype(np.int64).tobytes(), "vecs": v.tobytes()}])
+            n = pc.list_value_length(b.column(1))
+            for dim in pc.unique(n).to_pylist():
+                some = b.filter(pc.equal(n, dim))
+                for i in range(0, some.num_rows, size):
+                    part = some.slice(i, size)
+                    v = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).cast(pa.int64()).to_numpy().tobytes()]), pa.array([np.ascontiguousarray(v).tobytes()]), pa.array([dim], pa.int32())], ["ids", "vecs", "dim"])
 
-    return rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col)).mapInArrow(run, "ids binary, vecs binary")
+    return rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col), F.col(vec_col)).mapInArrow(run, "ids binary, vecs binary, dim int")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _matrix(ids: bytes, vecs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(vecs).reshape(len(i), dim)
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + 1e-9)
+
+
+def _nearest(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row, by score, then by the smaller id; nan is never among them."""
+    score = np.where(np.isnan(score), -np.inf, score)
+    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _found(qi: np.ndarray, best: np.ndarray, who: np.ndarray, least: float | None) -> pa.RecordBatch:
+    r, c = np.nonzero(np.isfinite(best) if least is None else best >= least)
+    return pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(who[r, c]), pa.array(best[r, c])], ["query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, vec_id: str = "vec_id", embedding: str = "embedding", broadcast: int | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest other vectors of each query by cosine (1e-9 in the
     denominator), those of at least `least` if given. queries: query_id, embedding.
 
-    Blocks of queries meet blocks of vectors by the query block's number, a matrix product each; a
-    product gives k rows a query at most.
+    Blocks of queries are written once. Up to `broadcast` bytes of them (BROADCAST) go to the vectors where
+    these lie, and each task keeps the k best of a query; more are joined with the blocks of vectors by
+    number, a matrix product each. Either way only k rows a query and task or product are shuffled.
+    Vectors meet those of as many components; null ones and those with a null or nan component meet none.
     """
-    q = _blocks(queries, "query_id", "embedding", BLOCK).withColumn("number", F.xxhash64("ids"))
-    numbers = q.select("number", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    # the list of block numbers (one for every BLOCK queries) goes along with each block of vectors
-    ids = [r[0] for r in q.select("number").collect()]
-    v = _blocks(vectors, vec_id, embedding, BLOCK).withColumn("number", F.explode(F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast("array<bigint>")))
-
-    def near(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                qi, vi = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                x = np.frombuffer(r["q_vecs"]).reshape(len(qi), -1)
-                y = np.frombuffer(r["vecs"]).reshape(len(vi), -1)
-                s = x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + 1e-9)
-                s[qi[:, None] == vi[None]] = -np.inf
-                # by score, then by the smaller id
-                order = np.lexsort((np.broadcast_to(vi, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, 1)
-                keep = np.isfinite(best) if least is None else best >= least
-                rows = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[rows[0]]), pa.array(vi[order[rows]]), pa.array(best[rows])], ["query_id", "vec_id", "score"])
-
-    pairs = v.join(numbers, "number").select("q_ids", "q_vecs", "ids", "vecs")
-    return top(pairs.mapInArrow(near, "query_id long, vec_id long, score double"), "query_id", F.col("score"), F.col("vec_id"), k)
+    q = durable(_blocks(queries, "query_id", "embedding", BLOCK).withColumn("number", F.monotonically_increasing_id()), "query-blocks")
+    v = _blocks(vectors, vec_id, embedding, BLOCK)
+    size = q.agg(F.sum(F.length("vecs") + F.length("ids"))).first()[0] or 0
+    if size <= (BROADCAST if broadcast is None else broadcast):
+        shared = q.sparkSession.sparkContext.broadcast([(r["ids"], r["vecs"], r["dim"]) for r in q.orderBy("number").collect()])
+
+        def scan(batches):
+            blocks = [(_matrix(*r), r[2]) for r in shared.value]
+            held: list[tuple | None] = [None] * len(blocks)
+            for b in batches:
+                for r in b.to_pylist():
+                    vi, y = _matrix(r["ids"], r["vecs"], r["dim"])
+                    for n, ((qi, x), dim) in enumerate(blocks):
+                        if dim != r["dim"]:
+                            continue
+                        s = _cosines(x, y)
+                        s[qi[:, None] == vi[None]] = -np.inf
+                        new = _nearest(s, np.broadcast_to(vi, s.shape), k)
+                        held[n] = new if held[n] is None else _nearest(*(np.concatenate([o, w], 1) for o, w in zip(held[n], new, strict=True)), k)
+            for ((qi, _), _), best in zip(blocks, held, strict=True):
+                if best is not None:
+                    yield _found(qi, *best, least)
+
+        found = v.mapInArrow(scan, "query_id long, vec_id long, score double")
+    else:
+        numbers = [r[0] for r in q.select("number").collect()]  # one for every BLOCK queries
+        each = v.withColumn("number", F.explode(F.array(*[F.lit(i) for i in numbers])))
+        sides = q.select("number", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), "dim")
+
+        def near(batches):
+            for b in batches:
+                for r in b.to_pylist():
+                    (qi, x), (vi, y) = _matrix(r["q_ids"], r["q_vecs"], r["dim"]), _matrix(r["ids"], r["vecs"], r["dim"])
+                    s = _cosines(x, y)
+                    s[qi[:, None] == vi[None]] = -np.inf
+                    yield _found(qi, *_nearest(s, np.broadcast_to(vi, s.shape), k), least)
+
+        pairs = each.join(sides, ["number", "dim"]).select("q_ids", "q_vecs", "ids", "vecs", "dim")
+        found = pairs.mapInArrow(near, "query_id long, vec_id long, score double")
+    return top(found, "query_id", F.col("score"), F.col("vec_id"), k)
 
 
 def best_pairs(vectors: DataFrame, k: int, least: float, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """a, b, score: of all pairs a < b with a cosine (1e-9 in the denominator) of at least `least`, the k
     best; of equal scores the larger a, then the larger b.
 
-    Blocks meet by pairs of their numbers, a matrix product each, which gives k rows at most. The work
-    grows with the square of the number of vectors, the rows with that of the blocks.
+    Blocks are dealt to parts of about PART blocks, and every two parts meet in a group, which gives k rows
+    at most. The work grows with the square of the number of vectors, the rows with that of the parts.
     """
     blocks = durable(_blocks(vectors, vec_id, embedding, BLOCK).withColumn("number", F.monotonically_increasing_id()), "pair-blocks")
-    one, two = (blocks.select(F.col("number").alias(f"{s}_number"), F.col("ids").alias(f"{s}_ids"), F.col("vecs").alias(f"{s}_vecs")) for s in ("a", "b"))
-    numbers = one.select("a_number").crossJoin(two.select("b_number")).where("a_number <= b_number")
-
-    def near(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ai, bi = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
-                x, y = np.frombuffer(r["a_vecs"]).reshape(len(ai), -1), np.frombuffer(r["b_vecs"]).reshape(len(bi), -1)
-                s = x @ y.T / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + 1e-9)
+    parts = max(1, blocks.count() // PART)
+    dealt = blocks.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = dealt.select("dim", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "number", "ids", "vecs")
+
+    def near(pdf):
+        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+        rows = [(r.part, r.number, *_matrix(r.ids, r.vecs, r.dim)) for r in pdf.itertuples()]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for part, number, ai, u in rows:
+            for other, second, bi, w in rows:
+                if part != x or other != y or (x == y and number > second):
+                    continue
+                s = _cosines(u, w)
                 ok = (s >= least) & (ai[:, None] != bi[None])
-                if r["a_number"] == r["b_number"]:
+                if number == second:
                     ok &= ai[:, None] < bi[None]
                 i, j = np.nonzero(ok)
-                lo, hi, v = np.minimum(ai[i], bi[j]), np.maximum(ai[i], bi[j]), s[i, j]
+                new = [np.minimum(ai[i], bi[j]), np.maximum(ai[i], bi[j]), s[i, j]]
+                lo, hi, v = (np.concatenate(c) for c in zip(held, new, strict=True))
                 if len(v) > k:
                     some = v >= np.partition(v, -k)[-k]
                     lo, hi, v = lo[some], hi[some], v[some]
                 best = np.lexsort((-hi, -lo, -v))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(lo[best]), pa.array(hi[best]), pa.array(v[best])], ["a", "b", "score"])
+                held = [lo[best], hi[best], v[best]]
+        return pd.DataFrame({"a": held[0], "b": held[1], "score": held[2]})
 
-    both = numbers.join(one, "a_number").join(two, "b_number").select("a_number", "a_ids", "a_vecs", "b_number", "b_ids", "b_vecs")
-    return both.mapInArrow(near, "a long, b long, score double").orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(k)
+    found = met.groupBy("dim", "x", "y").applyInPandas(near, "a long, b long, score double")
+    return found.orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(k)
 
 
 def normalized(hits: DataFrame) -> DataFrame:

@@ -39,13 +39,13 @@ union all select concat('v', cast(p_partkey as varchar(20))), case when p_partke
 union all select distinct concat('k', p_brand), 'KhaiNiem', concat('brand ', p_brand), null from part
 """
 EDGES = """
-select distinct concat('d', cast(l_suppkey as varchar(20))) as src, concat('v', cast(l_partkey as varchar(20))) as dst, case when l_returnflag = 'R' then null when l_returnflag = 'A' then 'THAM_CHIEU' else 'QUY_DINH' end as relation, false as partial, cast(null as varchar(20)) as scope from lineitem where l_linenumber = 1
+select distinct concat('d', cast(l_suppkey as varchar(20))) as src, concat('v', cast(l_partkey as varchar(20))) as dst, case when l_returnflag = 'R' then null when l_returnflag = 'A' then 'THAM_CHIEU' else 'QUY_DINH' end as relation, false as partial, cast(null as varchar(20)) as scope from lineitem
 union all select concat('v', cast(p_partkey as varchar(20))), concat('k', p_brand), 'AP_DUNG_CHO', false, cast(null as varchar(20)) from part where p_partkey % 4 <> 0
-union all select src, dst, relation, partial, scope from (select distinct concat('d', cast(a.s_suppkey as varchar(20))) as src, concat('d', cast(b.s_suppkey as varchar(20))) as dst, case (a.s_suppkey + b.s_suppkey) % 3 when 0 then 'CAN_CU' when 1 then 'THAY_THE' else 'THAM_CHIEU' end as relation, a.s_suppkey % 2 = 0 as partial, case when b.s_suppkey % 5 = 0 then 'Phụ lục 02' end as scope from supplier a join supplier b on b.s_suppkey in (a.s_suppkey + 1, a.s_suppkey - 1, a.s_suppkey * 3)) y where src <> dst
+union all select src, dst, relation, partial, scope from (select distinct concat('d', cast(a.s_suppkey as varchar(20))) as src, concat('d', cast(b.s_suppkey as varchar(20))) as dst, case (a.s_suppkey + b.s_suppkey) % 3 when 0 then 'CAN_CU' when 1 then 'THAY_THE' else 'THAM_CHIEU' end as relation, a.s_suppkey % 2 = 0 as partial, case when b.s_suppkey % 5 = 0 then 'Phụ lục 02' end as scope from (select s_suppkey, s_suppkey + 1 as other from supplier union all select s_suppkey, s_suppkey - 1 from supplier union all select s_suppkey, s_suppkey * 3 from supplier) a join supplier b on b.s_suppkey = a.other) y where src <> dst
 """
-#: Paths of a catalog: a size stands for a document, manufacturers' types and brands for headings.
+#: Paths of a catalog: forty parts stand for a document, types and brands for headings.
 PATHS = """
-select cast(p_size as bigint) as doc_id, cast(p_partkey as bigint) as ord, case p_partkey % 4 when 0 then p_type when 1 then upper(p_type) else concat(' ', p_type) end as a, case when p_partkey % 11 = 0 then p_type when p_partkey % 13 = 0 then '12 3' else p_brand end as b, p_name as c from part
+select cast(floor(p_partkey / 40.0) as bigint) as doc_id, cast(p_partkey as bigint) as ord, case p_partkey % 4 when 0 then p_type when 1 then upper(p_type) else concat(' ', p_type) end as a, case when p_partkey % 11 = 0 then p_type when p_partkey % 13 = 0 then '12 3' else p_brand end as b, p_name as c from part
 """
 SQL = {"versions": VERSIONS, "citing": CITING, "vertices": VERTICES, "edges": EDGES, "paths": PATHS}
 
