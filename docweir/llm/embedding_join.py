@@ -4,13 +4,20 @@ Vectors are scaled to length 1, so that a cosine of at least t is a distance of
 epsilon = sqrt(2 - 2t). Equal vectors become one class with a count; only classes are joined.
 
 Classes are projected on the leading principal axes and sorted by their cells of a grid of width
-epsilon on these axes (epsilon grid order), then by id, which cuts a crowded cell too. The sequence
-is cut into blocks, and blocks into a tree of intervals, FAN to a node, with a bounding box for each.
-Pairs of intervals are joined recursively from the root, level by level as Spark joins: a pair whose
-boxes are further apart than epsilon is left out with all below it. Boxes also bound the length of
-what the axes leave out, by which two vectors differ at least. Pairs of blocks left are joined in a
-task each, again by halves of intervals down to tiles, whose cosines are computed in double
-precision. A tile gives counts of links and a spanning forest of them, never all pairs.
+epsilon on the first GRID of these (epsilon grid order), then by id, which cuts a crowded cell too. The
+sequence is cut into blocks, within which rows are dealt to tiles by median cuts of the widest axis, and
+blocks into a tree of intervals, FAN to a node, with a bounding box for each. Pairs of intervals are
+joined recursively from the root, level by level as Spark joins: a pair whose boxes are further apart
+than epsilon is left out with all below it. Boxes also bound the length of what the axes leave out, by
+which two vectors differ at least. The blocks of pairs that are left meet in parts of several blocks.
+There they are halved down to tiles, which are left out if their boxes or their balls (a centre and a
+radius in all dimensions) are too far apart. Within a tile the axes and the rest's length bound each
+cosine, and only those that may reach t are computed, in double precision. A tile gives counts of links
+and a spanning forest of them, never all pairs.
+
+Where vectors have no structure (as random ones in 64 dimensions) no box or ball is far from another:
+then all pairs of tiles are bounded, at the cost of AXES components a pair, and hardly any is computed.
+work() says how many pairs were left out at each step.
 """
 
 from __future__ import annotations
@@ -19,33 +26,58 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, components, durable
 
-AXES, BLOCK, TILE, FAN = 8, 4096, 512, 16
+AXES, GRID, BLOCK, TILE, FAN = 24, 8, 4096, 128, 16
+#: Blocks of a part at most, and how many pairs of parts there are for each core at least, if so many can be.
+PART, EACH = 32, 2
+#: What rounding in single precision may add to a bound of a cosine.
+SLACK = 1e-4
+
+
+def _width(vectors: DataFrame, embedding: str) -> int:
+    """Bytes of a component as it is kept: four for floats, else eight."""
+    return 4 if vectors.schema[embedding].dataType.simpleString() == "array<float>" else 8
+
+
+def _kind(width: int):
+    return np.float32 if width == 4 else np.float64
 
 
 def _prepared(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id and key (the components as doubles, bytes), null if the vector can link with nothing."""
+    """vec_id and key (the components' bytes), null if the vector can link with nothing."""
+    width = _width(vectors, embedding)
+    kind = _kind(width)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for x in b.column(1).to_pylist():
             key = None
             if x and None not in x:
-                v = np.array(x, np.float64) + 0.0  # no negative zero
+                v = np.array(x, kind) + kind(0)  # no negative zero
                 if np.isfinite(v).all() and v.any():
                     key = v.tobytes()
             out.append(key)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["vec_id", "key"])
 
-    return arrow_map(vectors, [F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")], run, "vec_id long, key binary")
+    values = F.col(embedding).cast("array<float>" if width == 4 else "array<double>")
+    return arrow_map(vectors, [F.col(vec_id).cast("long").alias("vec_id"), values.alias("v")], run, "vec_id long, key binary")
 
 
 def _unit(keys: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(keys), np.float64).reshape(-1, dim)
+    """Rows of length 1 in double precision. Four bytes a component if the keys are that short."""
+    data = b"".join(keys)
+    width = len(keys[0]) // dim if len(keys) else 8
+    if width not in (4, 8):  # several vectors in one key
+        raise ValueError("use _rows for packed keys")
+    return _rows(data, dim, width)
+
+
+def _rows(data: bytes, dim: int, width: int) -> np.ndarray:
+    x = np.frombuffer(data, _kind(width)).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # so that no square over- or underflows
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -80,25 +112,69 @@ def _apart(lo, hi, lo2, hi2) -> float:
     return float(gap @ gap)
 
 
-def _tiles(ya: np.ndarray, yb: np.ndarray, limit: float, same: bool):
-    """Pairs of intervals of at most TILE rows that may hold links, halving the longer interval."""
-    stack = [(0, len(ya), 0, len(yb))]
+def _in_tiles(y: np.ndarray, tile: int) -> np.ndarray:
+    """An order of rows in which every `tile` of them lie close: median cuts of the widest axis."""
+    out, stack = [], [np.arange(len(y))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= tile:
+            out.append(rows)
+            continue
+        axis = int(np.ptp(y[rows], axis=0).argmax())
+        cut = len(rows) // 2 // tile * tile or tile
+        rows = rows[np.argsort(y[rows, axis], kind="stable")]
+        stack += [rows[cut:], rows[:cut]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class _Tree:
+    """Boxes on the axes and balls in all dimensions of the halves of a block, down to tiles."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y, self.known = x, y, {}
+        self.low, self.rest = y[:, :-1].astype(np.float32), y[:, -1].astype(np.float32)
+
+    def bounds(self, a: int, z: int):
+        if (a, z) not in self.known:
+            x, y = self.x[a:z], self.y[a:z]
+            c = x.mean(0)
+            self.known[a, z] = y.min(0), y.max(0), c, float(np.sqrt(((x - c) ** 2).sum(1).max()))
+        return self.known[a, z]
+
+
+def _tiles(one: _Tree, two: _Tree, limit: float, same: bool, tile: int):
+    """Pairs of intervals of at most tile rows that may hold links, halving the longer interval."""
+    stack, far = [(0, len(one.x), 0, len(two.x))], math.sqrt(limit)
     while stack:
         a, z, c, e = stack.pop()
         if same and e <= a:  # a block with itself: each pair once, above the diagonal
             continue
-        if _apart(ya[a:z].min(0), ya[a:z].max(0), yb[c:e].min(0), yb[c:e].max(0)) > limit:
+        lo, hi, centre, radius = one.bounds(a, z)
+        lo2, hi2, centre2, radius2 = two.bounds(c, e)
+        if _apart(lo, hi, lo2, hi2) > limit or np.linalg.norm(centre - centre2) - radius - radius2 > far:
             continue
-        if z - a <= TILE and e - c <= TILE:
+        if z - a <= tile and e - c <= tile:
             yield a, z, c, e
         elif z - a >= e - c:
-            m = (a + z) // 2
+            m = a + max(tile, (z - a) // 2 // tile * tile)
             stack += [(a, m, c, e), (m, z, c, e)]
         else:
-            m = (c + e) // 2
+            m = c + max(tile, (e - c) // 2 // tile * tile)
             stack += [(a, z, c, m), (a, z, m, e)]
 
 
+def _links(one: _Tree, two: _Tree, a: int, z: int, c: int, e: int, threshold: float) -> tuple[np.ndarray, int]:
+    """Which cosines of a tile reach the threshold, and how many of them were computed."""
+    bound = one.low[a:z] @ two.low[c:e].T
+    bound += one.rest[a:z, None] * two.rest[None, c:e]
+    i, j = np.nonzero(bound >= threshold - SLACK)
+    m = np.zeros(bound.shape, bool)
+    if 4 * len(i) > m.size:
+        return one.x[a:z] @ two.x[c:e].T >= threshold, m.size
+    m[i, j] = np.einsum("ij,ij->i", one.x[a + i], two.x[c + j]) >= threshold
+    return m, len(i)
+
+
 def _forest(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of edges that connect what the true entries of m connect, few of them."""
     r, c = np.nonzero(m)
@@ -127,52 +203,60 @@ def _forest(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_r), np.concatenate(out_c)
 
 
-def _joined(pdf, dim: int, axes: np.ndarray, threshold: float):
-    """a, b, n of one pair of blocks: n > 0 links of the class a, or with n = 0 an edge a, b."""
+#: Kinds of rows that a pair of parts gives: links n of the class a; an edge a, b; pairs a, those that
+#: were bounded b, those that were computed n.
+LINKS, EDGE, WORK = range(3)
+
+
+def _joined(pdf, dim: int, width: int, axes: np.ndarray, threshold: float, tile: int):
+    """kind, a, b, n of the pairs of blocks of one pair of parts."""
     import pandas as pd
 
-    sides = [pdf[pdf["side"] == k].iloc[0] for k in sorted(pdf["side"].unique())]
-    ids = [np.frombuffer(s["ids"], np.int64) for s in sides]
-    count = [np.frombuffer(s["counts"], np.int64) for s in sides]
-    x = [_unit([s["keys"]], dim) for s in sides]
-    same = len(sides) == 1
-    if same:
-        ids, count, x = ids * 2, count * 2, x * 2
-    y = [_places(v, axes) for v in x]
-    n = [np.zeros(len(v), np.int64) for v in ids]
-    edges_a, edges_b = [], []
-    for a, z, c, e in _tiles(y[0], y[1], 2 - 2 * threshold + 1e-6, same):
-        m = x[0][a:z] @ x[1][c:e].T >= threshold
-        if same and c < z:
-            m &= np.arange(a, z)[:, None] < np.arange(c, e)[None]
-        if not m.any():
-            continue
-        n[0][a:z] += m @ count[1][c:e]
-        n[1][c:e] += count[0][a:z] @ m
-        r, k = _forest(m)
-        edges_a.append(ids[0][a + r])
-        edges_b.append(ids[1][c + k])
-    if same:
-        n = [n[0] + n[1]]
-        ids = ids[:1]
-    who, many = np.concatenate(ids), np.concatenate(n)
+    limit = 2 - 2 * threshold + 1e-6
+    x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
+    blocks = []
+    for r in pdf.itertuples():
+        u = _rows(r.keys, dim, width)
+        blocks.append((r.part, r.o, np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64), _Tree(u, _places(u, axes))))
+    n = [np.zeros(len(b[2]), np.int64) for b in blocks]
+    edges_a, edges_b, pairs, bounded, computed = [], [], 0, 0, 0
+    for i, (part, o, ids, count, one) in enumerate(blocks):
+        for j, (part2, o2, ids2, count2, two) in enumerate(blocks):
+            if part != x or part2 != y or (x == y and o > o2):
+                continue
+            same = o == o2
+            pairs += len(ids) * (len(ids) - 1) // 2 if same else len(ids) * len(ids2)
+            for a, z, c, e in _tiles(one, two, limit, same, tile):
+                m, some = _links(one, two, a, z, c, e, threshold)
+                bounded, computed = bounded + m.size, computed + some
+                if same and c < z:
+                    m &= np.arange(a, z)[:, None] < np.arange(c, e)[None]
+                if not m.any():
+                    continue
+                n[i][a:z] += m @ count2[c:e]
+                n[j][c:e] += count[a:z] @ m
+                r, k = _forest(m)
+                edges_a.append(ids[a + r])
+                edges_b.append(ids2[c + k])
+    who, many = np.concatenate([b[2] for b in blocks]), np.concatenate(n)
     who, many = who[many > 0], many[many > 0]
     ea, eb = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (edges_a, edges_b))
     return pd.DataFrame({
-        "a": np.concatenate([who, ea]),
-        "b": np.concatenate([who, eb]),
-        "n": np.concatenate([many, np.zeros(len(ea), np.int64)]),
+        "kind": np.repeat([LINKS, EDGE, WORK], [len(who), len(ea), 1]).astype(np.int32),
+        "a": np.concatenate([who, ea, [pairs]]),
+        "b": np.concatenate([who, eb, [bounded]]),
+        "n": np.concatenate([many, np.zeros(len(ea), np.int64), [computed]]),
     })
 
 
-def _blocks(classes: DataFrame, dim: int, axes: np.ndarray, epsilon: float, rows: int) -> DataFrame:
-    """Blocks of the sequence: o (rising with the sequence), ids, counts, keys, and the box lo0.., hi0.. ."""
+def _blocks(classes: DataFrame, dim: int, width: int, axes: np.ndarray, epsilon: float, rows: int) -> DataFrame:
+    """Blocks of the sequence: task and number in it (both rising with the sequence), ids, counts, keys, and the box lo0.., hi0.. ."""
     k = axes.shape[1] + 1
 
     def cells(b: pa.RecordBatch) -> pa.RecordBatch:
         y = _places(_unit(b.column(2).to_pylist(), dim), axes)
-        cell = np.floor(y / epsilon).astype(np.int32)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(cell) + 1, dtype=np.int32) * k), pa.array(cell.ravel()))], ["rep", "n", "key", "cell"])
+        cell = np.floor(y[:, :GRID] / epsilon).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(cell) + 1, dtype=np.int32) * cell.shape[1]), pa.array(cell.ravel()))], ["rep", "n", "key", "cell"])
 
     def cut(batches):
         from pyspark import TaskContext
@@ -183,8 +267,9 @@ def _blocks(classes: DataFrame, dim: int, axes: np.ndarray, epsilon: float, rows
         def block(some):
             nonlocal number
             y = _places(_unit([r[2] for r in some], dim), axes)
+            some = [some[i] for i in _in_tiles(y, TILE)]
             ids, counts = (np.array([r[i] for r in some], np.int64).tobytes() for i in (0, 1))
-            row = {"o": part * FAN**2 + number, "ids": ids, "counts": counts, "keys": b"".join(r[2] for r in some)}
+            row = {"task": part, "number": number, "ids": ids, "counts": counts, "keys": b"".join(r[2] for r in some)}
             row |= {f"lo{i}": float(v) for i, v in enumerate(y.min(0))} | {f"hi{i}": float(v) for i, v in enumerate(y.max(0))}
             number += 1
             return pa.RecordBatch.from_pylist([row], schema)
@@ -197,11 +282,15 @@ def _blocks(classes: DataFrame, dim: int, axes: np.ndarray, epsilon: float, rows
         if held:
             yield block(held)
 
-    schema = pa.schema([("o", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), *[(f"{s}{i}", pa.float64()) for s in ("lo", "hi") for i in range(k)]])
+    schema = pa.schema([("task", pa.int64()), ("number", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), *[(f"{s}{i}", pa.float64()) for s in ("lo", "hi") for i in range(k)]])
     spread = arrow_map(classes, ["rep", "n", "key"], cells, "rep long, n long, key binary, cell array<int>")
     # about FAN blocks a partition, cut by range of the grid order
     ordered = spread.repartitionByRange(max(1, -(-rows // (BLOCK * FAN // 2))), "cell", "rep").sortWithinPartitions("cell", "rep").select("rep", "n", "key")
-    return ordered.mapInArrow(cut, "o long, ids binary, counts binary, keys binary, " + ", ".join(f"{s}{i} double" for s in ("lo", "hi") for i in range(k)))
+    cuts = durable(ordered.mapInArrow(cut, "task long, number long, ids binary, counts binary, keys binary, " + ", ".join(f"{s}{i} double" for s in ("lo", "hi") for i in range(k))), "blocks")
+    # numbers without gaps, from the tasks' counts of blocks
+    many = cuts.groupBy("task").agg(F.count("*").alias("many"))
+    before = many.withColumn("before", F.sum("many").over(Window.orderBy("task")) - F.col("many"))
+    return cuts.join(F.broadcast(before.select("task", "before")), "task").withColumn("o", F.col("before") + F.col("number")).drop("task", "number", "before")
 
 
 def _near(boxes: DataFrame, k: int, limit: float) -> DataFrame:
@@ -233,31 +322,62 @@ def join(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", emb
     on its own. A row with a null id isn't compared and has no links and a null component. Each row
     of a repeated id counts as a vector. No rows give none. Other columns are not read.
     """
-    rows = durable(_prepared(vectors, vec_id, embedding), "vectors")
-    usable = rows.where("key is not null and vec_id is not null")
-    sizes = sorted(r[0] for r in usable.select(F.length("key")).distinct().collect())
+    rows, usable, width = _usable(vectors, vec_id, embedding)
     classes = None
-    for size in sizes:
-        some = _linked(usable.where(F.length("key") == size), size // 8, threshold)
+    for dim in _dims(usable, width):
+        some = _linked(*_found(usable.where(F.length("key") == dim * width), dim, width, threshold))
         classes = some if classes is None else classes.union(some)
     return _result(rows, classes)
 
 
-def _linked(usable: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """key, links and component of each class of equal vectors of dim components."""
+def work(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """dim, pairs (of different vectors), met (those in blocks that met), bounded (those in tiles that were
+    not left out) and computed (those whose cosine was computed) of a join."""
+    _, usable, width = _usable(vectors, vec_id, embedding)
+    out = None
+    for dim in _dims(usable, width):
+        classes, found = _found(usable.where(F.length("key") == dim * width), dim, width, threshold)
+        n = classes.count()
+        some = found.where(F.col("kind") == WORK).agg(F.sum("a").alias("met"), F.sum("b").alias("bounded"), F.sum("n").alias("computed"))
+        some = some.select(F.lit(dim).alias("dim"), F.lit(n * (n - 1) // 2).alias("pairs"), "met", "bounded", "computed")
+        out = some if out is None else out.union(some)
+    return vectors.sparkSession.createDataFrame([], "dim int, pairs long, met long, bounded long, computed long") if out is None else out
+
+
+def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame, int]:
+    rows = durable(_prepared(vectors, vec_id, embedding), "vectors")
+    return rows, rows.where("key is not null and vec_id is not null"), _width(vectors, embedding)
+
+
+def _dims(usable: DataFrame, width: int) -> list[int]:
+    return sorted(r[0] // width for r in usable.select(F.length("key")).distinct().collect())
+
+
+def _found(usable: DataFrame, dim: int, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal vectors of dim components (key, rep, n), and what their join gives (see _joined)."""
     classes = durable(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    k = min(AXES, dim)
-    axes = _axes(classes, dim, k)
+    axes = _axes(classes, dim, min(AXES, dim))
     epsilon = math.sqrt(max(2 - 2 * threshold, 1e-12))
-    blocks = durable(_blocks(classes, dim, axes, epsilon, classes.count()), "blocks")
-    pairs = durable(_near(blocks.drop("ids", "counts", "keys"), k + 1, 2 - 2 * threshold + 1e-6), "block-pairs")
-    body = ["ids", "counts", "keys"]
-    one = pairs.join(blocks.select(F.col("o").alias("a"), *body), "a").withColumn("side", F.lit(0))
-    two = pairs.where("a <> b").join(blocks.select(F.col("o").alias("b"), *body), "b").withColumn("side", F.lit(1))
-    found = one.unionByName(two).groupBy("a", "b").applyInPandas(lambda p: _joined(p, dim, axes, threshold), "a long, b long, n long")
-    found = durable(found, "found")
-    links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    groups = components(found.where("n = 0").select("a", "b"))
+    k = axes.shape[1] + 1
+    blocks = _blocks(classes, dim, width, axes, epsilon, classes.count())
+    boxes = durable(blocks.drop("ids", "counts", "keys"), "boxes")
+    many = boxes.count()
+    # parts of so many blocks that there is work for all cores: a block is sent once for each part that its own meets
+    tile = TILE
+    cores = usable.sparkSession.sparkContext.defaultParallelism
+    size = max(1, min(PART, many // math.ceil(math.sqrt(2 * EACH * cores))))
+    near = _near(boxes, k, 2 - 2 * threshold + 1e-6)
+    met = durable(near.select(F.floor(F.col("a") / size).alias("x"), F.floor(F.col("b") / size).alias("y")).distinct(), "parts")
+    dealt = blocks.select(F.floor(F.col("o") / size).alias("part"), "o", "ids", "counts", "keys")
+    sides = met.select("x", "y", F.col("x").alias("part")).union(met.where("x <> y").select("x", "y", F.col("y").alias("part")))
+    found = sides.join(dealt, "part").groupBy("x", "y").applyInPandas(lambda p: _joined(p, dim, width, axes, threshold, tile), "kind int, a long, b long, n long")
+    return classes, durable(found, "found")
+
+
+def _linked(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """key, links and component of each class."""
+    links = found.where(F.col("kind") == LINKS).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    groups = components(found.where(F.col("kind") == EDGE).select("a", "b"))
     classes = classes.join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     return durable(classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "linked")
 
