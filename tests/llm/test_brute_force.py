@@ -77,7 +77,7 @@ def test_prefix_keeps_one(spark):
     assert sorted(r.doc_id for r in near.collect()) == [1, 3]
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
     x = np.concatenate([base[rng.integers(0, 40, 500)] + rng.normal(size=(500, 16)) * 0.25, base[:20], base[:20] * 3]).astype(np.float32)
@@ -85,10 +85,10 @@ def test_vectors(spark):
     near = u @ u.T >= 0.9
     want = groups(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)])
     for block, tile in ((4096, 512), (64, 16)):
-        embedding_join.BLOCK, embedding_join.TILE = block, tile
+        monkeypatch.setattr(embedding_join, "BLOCK", block)
+        monkeypatch.setattr(embedding_join, "TILE", tile)
         got = embedding_join.join(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
         assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {k: (int(near[k].sum()) - 1, want[k]) for k in range(len(x))}
-    embedding_join.BLOCK, embedding_join.TILE = 4096, 512
 
 
 @settings(max_examples=60, deadline=None)
