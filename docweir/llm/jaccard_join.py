@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, durable, enter, forget
+from .common import arrow_map, bounded, components, durable, enter, forget
 from .textvec import U, ngrams, pieces
 
 SIDES = 256
@@ -67,11 +67,12 @@ def _unpack(b: bytes) -> np.ndarray:
 
 def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[int, np.ndarray, np.ndarray]:
     """bits, and in order the leading 32 + bits bits of the hash and the documents of the most frequent
-    shingles: the size / slots most frequent ones of each of the 2 ** bits slots of the hash range.
-    Exact counts, from all documents."""
+    shingles: the most frequent ones of each of the 2 ** bits slots of the hash range, and of these the
+    size most frequent. Exact counts, from all documents. There is a slot for every two million shingles,
+    so that a group stays as small however many there are."""
     total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / 5 / 2e6 + 1)), 6, 16))  # about 2 million shingles a slot
-    top, shift = max(1, size >> bits), U(64 - bits)
+    bits = int(np.clip(np.ceil(np.log2(max(total, 1) / 5 / 2e6 + 1)), 6, 31))  # about 2 million shingles a slot
+    top, shift = max(16, size >> bits), U(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("jaccard")
@@ -89,14 +90,12 @@ def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[
         h, c = np.unique(h >> (shift - U(32)), return_counts=True)  # the slot's bits and 32 more
         slot, low = (h >> U(32)).astype(np.int64), h.astype(np.uint32)
         again = c > 1
-        cut = np.searchsorted(slot, np.arange((1 << bits) + 1))
+        cut = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
         rows = []
-        for s in range(1 << bits):
-            a, z = cut[s], cut[s + 1]
-            if a < z:
-                m = again[a:z]
-                rows.append((s, _pack(low[a:z][~m]), _pack(low[a:z][m]), c[a:z][m].astype("<u4").tobytes()))
-        return pa.RecordBatch.from_pylist([dict(zip(("slot", "once", "more", "times"), r, strict=True)) for r in rows], pa.schema([("slot", pa.int32()), ("once", pa.binary()), ("more", pa.binary()), ("times", pa.binary())]))
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            m = again[a:z]
+            rows.append((int(slot[a]), _pack(low[a:z][~m]), _pack(low[a:z][m]), c[a:z][m].astype("<u4").tobytes()))
+        return pa.RecordBatch.from_pylist([dict(zip(("slot", "once", "more", "times"), r, strict=True)) for r in rows], pa.schema([("slot", pa.int64()), ("once", pa.binary()), ("more", pa.binary()), ("times", pa.binary())]))
 
     def best(pdf):
         import pandas as pd
@@ -112,9 +111,16 @@ def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[
         key = (np.uint64(pdf["slot"].iloc[0]) << U(32)) + low[order].astype(np.uint64)
         return pd.DataFrame({"keys": [key.tobytes()], "n": [c[order].astype(np.int64).tobytes()]})
 
-    packed = docs.select(text).mapInArrow(count, "slot int, once binary, more binary, times binary")
-    rows = packed.groupBy("slot").applyInPandas(best, "keys binary, n binary").collect()  # at most size entries
-    key, n_docs = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, np.uint64), (1, np.int64)))
+    bounded(docs.sparkSession)
+    packed = docs.select(text).mapInArrow(count, "slot long, once binary, more binary, times binary")
+    tops = packed.groupBy("slot").applyInPandas(best, "keys binary, n binary")
+    if top << bits <= size:
+        rows = tops.collect()  # at most size entries
+        key, n_docs = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, np.uint64), (1, np.int64)))
+    else:  # many slots: the size most frequent entries of all
+        spread = lambda b: pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(i).to_pylist()), np.int64)) for i in (0, 1)], ["key", "n"])
+        best_of_all = arrow_map(tops, ["keys", "n"], spread, "key long, n long").orderBy(F.desc("n"), "key").limit(size).toArrow()
+        key, n_docs = best_of_all["key"].to_numpy().view(np.uint64), best_of_all["n"].to_numpy()
     order = np.argsort(key)
     return bits, key[order], n_docs[order]
 
@@ -240,7 +246,11 @@ def _short(post: DataFrame, num: int, den: int) -> DataFrame:
 
 def _long(post: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs a < b of different components in a long list, left by the length, positional and
-    suffix filters. post: token, doc, n, pos, sides, comp, parts (of the list)."""
+    suffix filters. post: token, doc, n, pos, sides, comp, parts (of the list).
+
+    Lists come here after the hub rounds, with what still holds different components. Each document of a
+    list of m is copied m / PART times, and a group holds two parts: the pairs to try grow with m * m, as
+    they must, the memory of a group doesn't."""
 
     def meet(pdf):
         import pandas as pd
