@@ -65,7 +65,10 @@ class Templates:
             keys = np.array([[_bands(self.sets[k])[b].min() for b in range(BANDS)] for k in ks])
             self.bands[c] = [(np.sort(keys[:, b]), np.array(ks)[np.argsort(keys[:, b])]) for b in range(BANDS)]
         short = [k for k in self.classes.get(0, []) if len(self.sets[k]) < BLOCK]
-        self.short = {int(x): k for k in short for x in self.sets[k]}
+        self.short: dict[int, list[int]] = {}
+        for k in short:
+            for x in self.sets[k].tolist():
+                self.short.setdefault(x, []).append(k)
         self.short_keys = np.array(sorted(self.short), np.uint64)
 
 
@@ -112,7 +115,7 @@ def scan(t: Texts, known: Templates) -> list[tuple[int, str, float, int]]:
             b = int(np.searchsorted(block, i, "right")) - 1
             doc = d[i]
             lo, hi = int(first[doc]), int(first[doc] + n_blocks[doc])
-            meets.add((max(lo, b - 1), min(hi, b + 2), known.short[int(h[i])]))
+            meets.update((max(lo, b - 1), min(hi, b + 2), k) for k in known.short[int(h[i])])
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for start, stop, k in sorted(meets):
         inside = np.isin(known.sets[k], h[ends[start] : ends[stop]]).mean()
