@@ -8,7 +8,8 @@ text is flagged as ambiguous. With up to five languages the code is exhaustive,
 CODE_BITS bits for each doubling of the languages.
 
 Training reads a bounded sample: about SAMPLE documents of each language at most, drawn by a hash of
-the id, counted in BUCKETS hashed n-grams. Languages are those of the LANGUAGES most frequent labels.
+the id, counted in BUCKETS hashed n-grams. Every label is a language; each takes a quarter of a megabyte
+of the driver and of a training task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .textvec import U, Texts, mix, pieces
 
-SAMPLE, BUCKETS, LANGUAGES, CODE_BITS = 4000, 1 << 15, 256, 12
+SAMPLE, BUCKETS, CODE_BITS = 4000, 1 << 15, 12
 ORDERS = (2, 3, 4)
 SLICES = 32
 
@@ -81,7 +82,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 def train(docs: DataFrame, doc_id: str, text: str, lang: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
     """Languages, codewords, weights of n-grams by bit, and the bits' weights; None without labels."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    per = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    per = known.groupBy(F.col(lang).alias("lang")).count().collect()  # a row a language
     if not per:
         return None
     langs = sorted(r["lang"] for r in per)
@@ -134,7 +135,7 @@ def decode(margins: np.ndarray, n: np.ndarray, code: np.ndarray, worth: np.ndarr
 
 def predict(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of each row: `und`, 0 and true without a letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES words and BUCKETS rows of weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a codeword a language and BUCKETS rows of weights
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lang = np.full(b.num_rows, "und", object)
