@@ -365,3 +365,40 @@ def test_lines_short_passages(spark):
     for r in line_dedup.without_repeats(docs).collect():
         earlier = set(texts[r.doc_id - 1000].split("\n")) if r.doc_id in gone else set()
         assert r.text.split("\n") == [x for x in texts[r.doc_id].split("\n") if x not in earlier]
+
+
+def test_short_templates_share_shingles(spark):
+    """A template that is part of another is found on its own and within it."""
+    a = "one two three four five six"
+    templates = {"a": a, "b": a + " seven eight nine", "c": "zero " + a}
+    rows = [(k, f"{prose(k, 40)} {(a, templates['b'], templates['c'])[k % 3]} {prose(k + 99, 40)}") for k in range(30)]
+    got = {(r.doc_id, r.license) for r in license_scan.find(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert {(k, "a") for k in range(30)} <= got and {(k, "bc"[k % 3 - 1]) for k in range(30) if k % 3} <= got
+    assert not any(n == "b" and k % 3 != 1 for k, n in got)
+
+
+def test_licenses_of_all_documents(spark, docs, texts):
+    """Against exact containment of every template in every stretch of a text as long as a window."""
+    def sh(x):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", x.lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    sets = {n: set(sh(x)) for n, x in TEMPLATES.items()}
+    want = set()
+    for d, x in texts.items():
+        have = sh(x or "")
+        for n, s in sets.items():
+            at = [i for i, g in enumerate(have) if g in s]
+            if any(len({have[j] for j in at if i <= j < i + 2 * max(16, len(s))}) >= 0.8 * len(s) for i in at):
+                want.add((d, n))
+    got = {(r.doc_id, r.license) for r in license_scan.find(docs).collect()}
+    assert got >= want and len(got - want) <= 0.02 * len(want) + 1
+
+
+def test_jaccard_dictionary_of_many_slots(spark, docs, monkeypatch):
+    """The most frequent shingles come out the same whether slots are collected or ordered by Spark."""
+    one = jaccard_join.frequent(docs, "text", 4, 1 << 20)
+    two = jaccard_join.frequent(docs, "text", 4, 200)
+    some = dict(zip(one[1].tolist(), one[2].tolist(), strict=True))
+    assert len(two[1]) == min(200, len(some)) and all(some[k] == n for k, n in zip(two[1].tolist(), two[2].tolist(), strict=True))
+    assert min(two[2]) >= sorted(some.values(), reverse=True)[min(200, len(some)) - 1]
