@@ -64,6 +64,66 @@ def contract_edges(entities: DataFrame, relations: DataFrame, chunks: DataFrame)
     return relations.join(s, "source").join(t, "target").where("src <> dst").select("src", "dst", F.col("type").alias("relation")).distinct()
 
 
+def contract_links(entities: DataFrame, relations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """src, dst, kg_relation, source_name, target_name, bidirectional, score: as contract_edges, one for each
+    relation between entities (id, name, chunk_ids), which hold in both directions with a score of 1."""
+    e = entities.select("id", "name", F.explode("chunk_ids").alias("chunk")).join(chunks.select(F.col("id").alias("chunk")), "chunk", "left_semi").distinct()
+    s = e.select(F.col("id").alias("source"), F.col("name").alias("source_name"), F.col("chunk").alias("src"))
+    t = e.select(F.col("id").alias("target"), F.col("name").alias("target_name"), F.col("chunk").alias("dst"))
+    out = relations.join(s, "source").join(t, "target").where("src <> dst")
+    return out.select("src", "dst", F.col("type").alias("kg_relation"), "source_name", "target_name", F.lit(True).alias("bidirectional"), F.lit(1.0).alias("score"))
+
+
+def chunk_entities(entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk, names (each once, in order of the entities' ord) and n (entities with repeats) of each chunk."""
+    e = entities.select("ord", "name", F.explode("chunk_ids").alias("chunk")).join(chunks.select(F.col("id").alias("chunk")), "chunk", "left_semi")
+    rows = F.array_sort(F.collect_list(F.struct("ord", "name")))
+    return e.groupBy("chunk").agg(F.array_distinct(F.transform(rows, lambda x: x["name"])).alias("names"), F.count("*").alias("n"))
+
+
+def records(samples: DataFrame, model: str | None = None) -> DataFrame:
+    """inputs, expectations, source and tags of each sample (user_input, persona_name, reference,
+    reference_contexts, synthesizer_name). inputs alone is the identity of a record."""
+    from docweir.functions import text as T
+
+    of = F.struct(F.lit("CODE").alias("source_type"), F.struct(F.lit("llm").alias("generator"), F.lit(model).cast("string").alias("model")).alias("source_data"))
+    tags = F.struct(F.lit("llm").alias("source"), T.sample_id(F.col("user_input"), F.col("persona_name")).alias("sample_id"), T.hop_type(F.col("synthesizer_name")).alias("hop_type"), F.coalesce("synthesizer_name", F.lit("")).alias("synthesizer_name"), F.lit(model).cast("string").alias("generation_model"))
+    return samples.select(
+        F.struct(F.col("user_input").alias("question"), "persona_name").alias("inputs"),
+        F.struct(F.col("reference").alias("expected_response"), F.coalesce("reference_contexts", F.array().cast("array<string>")).alias("expected_contexts")).alias("expectations"),
+        of.alias("source"), tags.alias("tags"))
+
+
+def rows_from_traces(traces: DataFrame, metrics: list[str]) -> DataFrame:
+    """trace_id, synthesizer_name, persona_name and a column for each metric, of traces (trace_id, tags map,
+    assessments: name, value as text): values that are numbers, the last of several; true and false are 1 and 0."""
+    number = lambda a: F.when(F.lower(a["value"]) == "true", 1.0).when(F.lower(a["value"]) == "false", 0.0).otherwise(F.try_to_number(a["value"], F.lit("S999999999D999999999")).cast("double"))
+    of = lambda m: F.transform(F.filter("assessments", lambda a: (a["name"] == m) & number(a).isNotNull()), number)
+    return traces.select("trace_id", F.element_at("tags", "synthesizer_name").alias("synthesizer_name"), F.element_at("tags", "persona_name").alias("persona_name"), *[F.try_element_at(of(m), F.lit(-1)).alias(m) for m in metrics])
+
+
+def collected(chunks: DataFrame, documents: DataFrame, ids: list | None = None) -> DataFrame:
+    """chunks (document_id, chunk_index, ..) of the documents (document_id, status) that are indexed: all, or
+    those of ids, which must exist and be indexed."""
+    d = documents
+    if ids is not None:
+        asked = documents.sparkSession.createDataFrame([(i,) for i in ids], documents.select("document_id").schema)
+        state = asked.join(documents, "document_id", "left").select("document_id", "status").collect()  # a row for each asked id
+        missing, early = sorted(r[0] for r in state if r[1] is None), sorted(r[0] for r in state if r[1] not in (None, "indexed"))
+        if missing or early:
+            raise ValueError(f"documents not found: {missing}; not indexed: {early}")
+        d = d.join(asked, "document_id", "left_semi")
+    return chunks.join(d.where("status = 'indexed'").select("document_id"), "document_id", "left_semi")
+
+
+def evidence_metrics(answers: DataFrame) -> DataFrame:
+    """technique and the shares of answers (technique, expected and found arrays of chunk ids, current, claims,
+    supported, conflict, reported): evidence_coverage, current_version_accuracy, unsupported_conclusions and
+    conflict_detection (of those that have a conflict)."""
+    cover = F.size(F.array_intersect("expected", "found")) / F.nullif(F.size("expected"), F.lit(0))
+    return answers.groupBy("technique").agg(F.avg(cover).alias("evidence_coverage"), F.avg(F.col("current").cast("double")).alias("current_version_accuracy"), (1 - F.sum("supported") / F.nullif(F.sum("claims"), F.lit(0))).alias("unsupported_conclusions"), F.avg(F.when(F.col("conflict"), F.col("reported").cast("double"))).alias("conflict_detection"))
+
+
 def contract_errors(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """item, error of a knowledge-graph contract: entities without id, name or type, and relations with an
     end that no entity has."""
@@ -92,6 +152,15 @@ def token_overlap(answers: DataFrame) -> DataFrame:
     return a.select("sample_id", (both / F.greatest(F.size("c"), F.lit(1))).alias("precision"), (both / F.greatest(F.size("r"), F.lit(1))).alias("recall"))
 
 
+def ran(samples: DataFrame, techniques: Techniques, names: list[str]) -> DataFrame:
+    """technique and answers of each named technique on all samples (question_id, text)."""
+    out = None
+    for name in names:
+        one = techniques.resolve(name)(samples).withColumn("technique", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 class Techniques:
     """Named ways to answer: each takes questions (question_id, text) and gives question_id, contexts."""
 

@@ -55,3 +55,39 @@ def version_chains(docs: DataFrame) -> DataFrame:
     d = docs.join(c, "id", "left").withColumn("chain", F.coalesce("component", "id"))
     order = Window.partitionBy("chain").orderBy(F.coalesce("effective_date", "created_at"), "id")
     return d.select("id", "chain", F.row_number().over(order).alias("version"))
+
+
+def expire(docs: DataFrame, actions: DataFrame) -> DataFrame:
+    """docs after actions (id, effective_date): inactive, and expired from that date."""
+    d = docs.join(actions.select("id", F.col("effective_date").alias("_from"), F.lit(True).alias("_hit")), "id", "left")
+    hit = F.col("_hit").isNotNull()
+    return d.withColumns({"is_active": F.when(hit, False).otherwise(F.col("is_active")), "expiry_date": F.when(hit, F.col("_from")).otherwise(F.col("expiry_date"))}).select(*docs.columns)
+
+
+def recovered(docs: DataFrame) -> DataFrame:
+    """docs (graph_status, ..) whose graph was being built when the process ended, as failed."""
+    return docs.withColumn("graph_status", F.when(F.col("graph_status") == "building", "failed").otherwise(F.col("graph_status")))
+
+
+def without(tables: dict[str, DataFrame], gone: DataFrame, key: str = "document_id") -> dict[str, DataFrame]:
+    """Every table without the rows of the documents that are gone; null keys stay."""
+    return {name: t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}
+
+
+def reset(docs: DataFrame, tables: dict[str, DataFrame], ids: DataFrame, key: str = "document_id") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """docs (status, graph_status, ..) and their tables as before the ids were processed, but for those
+    whose graph is being built."""
+    free = docs.join(ids.select(key).distinct(), key, "left_semi").where("graph_status is distinct from 'building'").select(key)
+    d = docs.join(free.withColumn("_hit", F.lit(True)), key, "left")
+    d = d.withColumn("status", F.when(F.col("_hit").isNotNull(), "uploaded").otherwise(F.col("status"))).select(*docs.columns)
+    return d, without(tables, free, key)
+
+
+def eligible(docs: DataFrame, categories: list[str], enabled: bool = True) -> DataFrame:
+    """docs whose category takes part in the graph, none if that is off."""
+    return docs.where(F.col("category").isin(*categories) & F.lit(enabled))
+
+
+def replaceable(docs: DataFrame) -> DataFrame:
+    """docs that a new version can replace: active, indexed, and no successor of another."""
+    return docs.where("is_active and status = 'indexed' and supersedes_id is null")

@@ -75,3 +75,55 @@ def joined_pages(pages: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("page_number", "t"))))
     out = p.groupBy("document_id").agg(rows.alias("r"), F.count_if("used_fallback").alias("n_fallback"))
     return out.select("document_id", F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("text"), F.when(F.size("r") == 0, "failed").otherwise("parsed").alias("status"), "n_fallback")
+
+
+def load_dataset(spark: SparkSession, source: str, named: dict[str, str]) -> DataFrame:
+    """Samples of a .jsonl path that exists, else of the dataset of that name (name: path of a table)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(source) if source.endswith(".jsonl") else None
+    if p is not None and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return read_samples(spark, source)
+    if source not in named:
+        raise ValueError(f"no such file or dataset: {source}; known: {', '.join(sorted(named))}")
+    return spark.read.parquet(named[source])
+
+
+def read_personas(spark: SparkSession, path: str) -> DataFrame:
+    """name and role_description of a JSON list of personas; an error says what is wrong with it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        raise ValueError(f"no personas at {path}")
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<map<string,string>>").alias("list"))
+    if rows.where("list is null or size(list) = 0").limit(1).count():
+        raise ValueError("personas must be a list that is not empty")
+    each = rows.select(F.posexplode("list").alias("i", "p"))
+    bad = each.where("p is null or not map_contains_key(p, 'name') or not map_contains_key(p, 'role_description')").select("i").orderBy("i").limit(1).collect()
+    if bad:
+        raise ValueError(f"persona {bad[0][0]} lacks a name or a role_description")
+    return each.select(F.col("p")["name"].alias("name"), F.col("p")["role_description"].alias("role_description"))
+
+
+CONTRACT = "version string, entities array<struct<id:string,name:string,type:string,chunk_ids:array<string>>>, relations array<struct<source:string,target:string,type:string>>"
+
+
+def read_contract(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of a knowledge-graph contract; ord tells an entity's place in it."""
+    c = spark.read.schema(CONTRACT).json(path, multiLine=True)
+    return c.select(F.posexplode("entities").alias("ord", "e")).select("ord", "e.*"), c.select(F.explode("relations").alias("r")).select("r.*")
+
+
+def read_ontology(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(types: name, description; relations: name, ord, keyword; triples: src, relation, dst, in both
+    directions) of an ontology's YAML text, a short file that the driver reads."""
+    import yaml
+
+    doc = yaml.safe_load(text) or {}
+    types = [(n, (s or {}).get("description", "")) for n, s in doc.get("entity_types", {}).items()]
+    words = [(n, k, w) for k, (n, s) in enumerate(doc.get("relation_types", {}).items()) for w in (s or {}).get("keywords", [])]
+    triples = sorted({t for a, r, b in doc.get("allowed_triples", []) for t in ((a, r, b), (b, r, a))})
+    return spark.createDataFrame(types, "name string, description string"), spark.createDataFrame(words, "name string, ord int, keyword string"), spark.createDataFrame(triples, "src string, relation string, dst string")
+
+
+def gated(events: DataFrame, column: str = "event", version: int = 1, key: str = "v") -> DataFrame:
+    """events whose JSON is an object of the version; what is malformed or of another is left out."""
+    v = F.try_variant_get(F.try_parse_json(F.col(column)), f"$.{key}", "int")
+    return events.where(v == version)
