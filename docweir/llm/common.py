@@ -14,7 +14,7 @@ from docweir.operators.durable import components, durable, forget, shared_dir
 __all__ = ["arrow_map", "bounded", "cache", "enter", "components", "durable", "forget", "shared_dir"]
 
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session asks for less.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _caches: dict[str, dict] = {}
 
