@@ -5,9 +5,10 @@ all others set the thresholds, so both grow with the input. Counts of word trigr
 and words, context totals and back-off weights are Spark tables, sharded by the n-gram's hash and
 joined by it; the discounts of each order come from its counts of counts.
 
-The model grows with the trusted text. Up to BROADCAST entries (12 bytes each) it goes to the tasks
-that score, as sorted arrays, and texts aren't shuffled; a larger model is joined with the
-documents' n-grams, counted for each document first, by the n-gram's hash. A document is kept when
+Scoring is joins alike: a document's trigrams are counted within it, and the counts meet the model's
+entries order by order, sharded by the n-gram's hash, whatever the model's size. A hot n-gram's rows
+meet one entry, so that adaptive execution can split them. Nothing but sums of counts reaches the driver.
+A document is kept when
 its perplexity is within the QUANTILE of the trusted documents of its language that the model wasn't
 trained on. Languages with fewer than INSIDE / (1 - quantile) of these, among which the quantile would
 be one of the INSIDE worst documents or the worst itself, take the quantile of all.
@@ -20,20 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, durable
+from .common import arrow_map, bounded, durable
 from .textvec import U, Texts, mix, pieces
 
-BROADCAST, QUANTILE, INSIDE = 16_000_000, 0.99, 5
+QUANTILE, INSIDE = 0.99, 5
 
 _START = U(0x5851F42D4C957F2D)
 _F = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 #: Kinds of a model's entries: probabilities of three, two and one words; back-off weights of two and one.
 P3, P2, P1, B2, B1 = range(5)
-_KIND = [U(0x1B873593 * (2 * k + 1)) for k in range(5)]
-
-
-def _entry(kind: int, key: np.ndarray) -> np.ndarray:
-    return mix(key ^ _KIND[kind])
 
 
 def trigrams(t: Texts) -> tuple[np.ndarray, ...]:
@@ -92,65 +88,12 @@ def model(texts: DataFrame) -> DataFrame:
     return durable(parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4]).union(unseen), "model")
 
 
-class Scorer:
-    """The model as sorted keys and their values."""
-
-    def __init__(self, packs: list[tuple[bytes, bytes]]):
-        key, value = (np.frombuffer(b"".join(p[i] for p in packs), t) for i, t in ((0, np.uint64), (1, np.float32)))
-        order = np.argsort(key)
-        self.key, self.value = key[order], value[order]
-        self.unseen = float(self.get(P1, np.zeros(1, np.uint64))[0])
-
-    def get(self, kind: int, key: np.ndarray) -> np.ndarray:
-        """The entries' values, nan where there is none."""
-        wanted, back = np.unique(_entry(kind, key), return_inverse=True)
-        at = np.minimum(np.searchsorted(self.key, wanted), len(self.key) - 1)
-        return np.where(self.key[at] == wanted, self.value[at], np.nan)[back]
-
-    def log_p(self, k3, k12, k23, w, v) -> np.ndarray:
-        p = self.get(P3, k3).astype(np.float64)
-        rest = np.isnan(p)
-        lower = self.get(P2, k23[rest]).astype(np.float64)
-        last = np.isnan(lower)
-        lower[last] = np.nan_to_num(self.get(P1, w[rest][last]), nan=self.unseen) + np.nan_to_num(self.get(B1, v[rest][last]))
-        p[rest] = lower + np.nan_to_num(self.get(B2, k12[rest]))
-        return p
-
-
-def scorer(entries: DataFrame) -> Scorer:
-    def pack(batches):
-        for b in batches:
-            if b.num_rows:
-                kind, key = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-                salt = np.array(_KIND, np.uint64)[kind]
-                yield pa.RecordBatch.from_arrays([pa.array([mix(key ^ salt).tobytes()], pa.binary()), pa.array([b.column(2).to_numpy().astype(np.float32).tobytes()], pa.binary())], ["keys", "values"])
-
-    return Scorer([(r[0], r[1]) for r in entries.mapInArrow(pack, "keys binary, values binary").collect()])
-
-
-def scored(docs: DataFrame, entries: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
-    """doc_id, lang, n_words and log_p (the sum over its words) of each row of docs."""
-    if entries.count() > broadcast:
-        return _scored_by_join(docs, entries)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer(entries))  # at most broadcast entries
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-        for i, j, t in pieces(b, "text", lower=True):
-            doc, *keys = trigrams(t)
-            n[i:j] = np.bincount(doc, minlength=t.n)
-            if len(doc):
-                total[i:j] = np.bincount(doc, shared.value.log_p(*keys), minlength=t.n)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(total)], ["doc_id", "lang", "n_words", "log_p"])
-
-    return arrow_map(docs, ["doc_id", "lang", "text"], run, "doc_id long, lang string, n_words long, log_p double")
-
-
-def _scored_by_join(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """The same for a model of any size: a document's n-grams are counted, then joined order by order.
+def scored(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """doc_id, lang, n_words and log_p (the sum over its words) of each row of docs.
 
     Rows are told apart by their partition and place. Each begins with a row of n = 0, which has its
     id and language and keys of no n-gram, so that texts without words stay."""
+    bounded(docs.sparkSession)
     names = ["row", "doc_id", "lang", "n", "k3", "k12", "k23", "w", "v"]
 
     def rows(batches):
@@ -180,7 +123,7 @@ def _scored_by_join(docs: DataFrame, entries: DataFrame) -> DataFrame:
     return g.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n").alias("n_words"), F.sum(F.col("n") * log_p).alias("log_p")).drop("row")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast: int = BROADCAST) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, n_words, perplexity, threshold and kept of each row of docs.
 
     labels: doc_id, quality (1 is good), toxic (0 is clean); others and nulls aren't trusted. Texts
@@ -191,7 +134,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, bro
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     trains = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)) == 0
     entries = model(docs.where(trains).join(good, "doc_id", "left_semi").select("text"))
-    s = durable(scored(docs, entries, broadcast).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n_words")))), "scored")
+    s = durable(scored(docs, entries).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n_words")))), "scored")
     test = s.where(~trains).join(good, "doc_id", "left_semi").where("perplexity is not null")
     per = test.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("m")).where(F.col("m") * (1 - quantile) >= INSIDE)
     every = test.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
