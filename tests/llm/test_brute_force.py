@@ -290,27 +290,66 @@ def test_codewords():
         assert len(c) == n and len({tuple(r) for r in c}) == n and set(np.unique(c)) == {-1.0, 1.0}
 
 
-def test_kneser_ney(spark, docs):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    a, b = ({r.doc_id: r for r in perplexity.classify(docs, labels, broadcast=k).collect()} for k in (perplexity.BROADCAST, 0))
-    assert a.keys() == b.keys() and all((a[k].perplexity is None) == (b[k].perplexity is None) for k in a)
-    assert all(a[k].perplexity == pytest.approx(b[k].perplexity, rel=1e-4) for k in a if a[k].perplexity)
-
-
-def test_kneser_ney_sums_to_one(spark):
-    import pyarrow as pa
-
-    from docweir.llm.textvec import pieces
-
-    text = "a b a c a b d a b a"
-    s = perplexity.scorer(perplexity.model(spark.createDataFrame([(text,), ("a b",)], "text string")))
-    words = sorted(set(text.split()))
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney trigrams, straight from the definition."""
+
+    def __init__(self, texts):
+        c3 = Counter(t for x in texts for t in self.trigrams(x))
+        c2 = Counter((b, w) for _, b, w in c3)
+        c1 = Counter(w for _, w in c2)
+        self.c, self.d = (c1, c2, c3), [self.discounts(c) for c in (c1, c2, c3)]
+        self.total = [sum(c1.values()), Counter(), Counter()]
+        self.back = [None, Counter(), Counter()]
+        for k in (1, 2):
+            for g, n in self.c[k].items():
+                self.total[k][g[:-1]] += n
+                self.back[k][g[:-1]] += self.less(k, n)
+        self.base = sum(self.less(0, n) for n in c1.values()) / self.total[0] / (len(c1) + 1)
+
+    @staticmethod
+    def trigrams(text):
+        w = ["<s>", "<s>", *re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+        return list(zip(w, w[1:], w[2:], strict=False))
+
+    @staticmethod
+    def discounts(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+        return [min(max(k - (k + 1) * y * (n[k + 1] / n[k] if n[k] else 0), 0.05), k - 0.05) for k in (1, 2, 3)]
+
+    def less(self, k, n):
+        return self.d[k][min(n, 3) - 1]
+
+    def p(self, *gram):
+        if len(gram) == 1:
+            n = self.c[0].get(gram[0], 0)
+            return (n - self.less(0, n)) / self.total[0] + self.base if n else self.base
+        k, total = len(gram) - 1, self.total[len(gram) - 1][gram[:-1]]
+        if not total:
+            return self.p(*gram[1:])
+        n = self.c[k].get(gram, 0)
+        return (n - self.less(k, n) if n else 0) / total + self.back[k][gram[:-1]] / total * self.p(*gram[1:])
+
+    def log_p(self, text):
+        return sum(np.log(self.p(*t)) for t in self.trigrams(text))
+
+
+def test_kneser_ney(spark, docs, texts):
+    """Perplexities of all documents against the plain model, trained on every third of them."""
+    train = [texts[k] for k in sorted(texts) if k % 3 == 0]
+    plain = PlainKneserNey(train)
+    entries = perplexity.model(docs.where("doc_id % 3 = 0").select("text"))
+    got = {r.doc_id: (r.n_words, r.log_p) for r in perplexity.scored(docs, entries).collect()}
+    assert got.keys() == texts.keys()
+    for k, x in texts.items():
+        n = len(re.findall(WORD, x))
+        assert got[k][0] == n and got[k][1] == pytest.approx(plain.log_p(x), rel=1e-9, abs=1e-9)
+
+
+def test_kneser_ney_sums_to_one():
+    plain = PlainKneserNey(["a b a c a b d a b a", "a b"])
     for context in ("a b", "b a", "d a", "c c", "z a"):
-        batch = pa.RecordBatch.from_arrays([pa.array([f"{context} {w}" for w in [*words, "unseen"]])], ["text"])
-        for _, _, t in pieces(batch, "text", lower=True):
-            doc, *keys = perplexity.trigrams(t)
-            p = np.exp(s.log_p(*keys))[2::3]
-        assert p.sum() == pytest.approx(1, abs=1e-5), context
+        assert sum(plain.p(*context.split(), w) for w in "abcd") + plain.base * np.prod([plain.back[2][tuple(context.split())] / plain.total[2][tuple(context.split())] if plain.total[2][tuple(context.split())] else 1, plain.back[1][(context.split()[1],)] / plain.total[1][(context.split()[1],)] if plain.total[1][(context.split()[1],)] else 1]) == pytest.approx(1)
 
 
 def test_kneser_ney_trains_on_a_fixed_share(spark, monkeypatch):
@@ -327,12 +366,13 @@ def test_kneser_ney_trains_on_a_fixed_share(spark, monkeypatch):
     assert 4200 < seen.value.args[0] < 4800
 
 
-def test_kneser_ney_join_keeps_rows(spark):
+def test_kneser_ney_keeps_rows(spark):
     rows = [(1, "a b c a b", "en"), (1, "x y", "en"), (None, "a b", None), (2, "", "fr"), (3, None, "fr"), (4, "a b c a b", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = PlainKneserNey(["a b c d", "a b"])
     entries = perplexity.model(spark.createDataFrame([("a b c d",), ("a b",)], "text string"))
-    a, b = ([(r.doc_id, r.lang, r.n_words, round(r.log_p, 4)) for r in perplexity.scored(docs, entries, k).collect()] for k in (1000, 0))
-    assert sorted(a, key=str) == sorted(b, key=str) and len(b) == len(rows)
+    got = sorted(((r.doc_id, r.lang, r.n_words, round(r.log_p, 6)) for r in perplexity.scored(docs, entries).collect()), key=str)
+    assert got == sorted(((d, lang, len((x or "").split()), round(float(plain.log_p(x or "")), 6)) for d, x, lang in rows), key=str)
 
 
 def test_kneser_ney_labels(spark):
