@@ -11,6 +11,7 @@ from .language_id import op3_language_id
 from .license_scan import op5_license_scan
 from .line_dedup import op1_line_dedup
 from .mixing import op7_source_mixing
+from .periodic_runs import op12_periodic_runs
 from .perplexity import op9_kneser_ney_quality
 from .quality_rules import op10_quality_rules
 from .token_packing import op8_token_packing
@@ -36,6 +37,7 @@ QUERIES = {
     "op8_token_packing": op8_token_packing,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_quality_rules": op10_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": pipeline,
 }
 #: Plain SQL for those that it can express. Reachability is a recursive union of pairs.
@@ -59,4 +61,19 @@ pair as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id =
 reach as (select doc_id as id, doc_id as r from documents union select reach.id, pair.b from reach join pair on pair.a = reach.r),
 least as (select id, min(r) as component_id from reach group by id)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least.component_id from documents d join least on least.id = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op12_periodic_runs": r"""
+with recursive c as (select doc_id, list_reduce([4294967295] || [ascii(x)::bigint for x in string_split(doc_id::varchar, '')], lambda s, x: list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: case when y & 1 = 1 then xor(y >> 1, 3988292384) else y >> 1 end)) as s, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents),
+h as (select doc_id, xor(s, 4294967295) as h, coalesce(w, []) as w, len(coalesce(w, [])) as n from c),
+p as (select doc_id, w, n, h // 10 % greatest(n, 1) as a, 1 + (n - h // 10 % greatest(n, 1)) // (3 + h // 10 % 8) as p, h % 10 = 0 and n > 0 as planted from h),
+i as (select *, unnest(generate_series(0, n - 1)) as i from p),
+w as (select doc_id, n, i, case when planted and i >= a then w[a + (i - a) % p + 1] else w[i + 1] end as w from i),
+same as (select y.doc_id, y.i - x.i as q, y.i from w x join w y on y.doc_id = x.doc_id and y.w = x.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+part as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as part from same),
+diagonal as (select doc_id, q, min(i) - q as start, count(*) + q as length from part group by doc_id, q, part having count(*) + q >= greatest(6, 4 * q)),
+run as (select doc_id, start, length, q as period from diagonal d where not exists (select 1 from diagonal s where s.doc_id = d.doc_id and s.q < d.q and s.start <= d.start and s.start + s.length >= d.start + d.length)),
+gone as (select distinct doc_id, unnest(generate_series(start + period, start + length - 1)) as i from run),
+kept as (select doc_id, string_agg(w, ' ' order by i) as text from w anti join gone using (doc_id, i) group by doc_id),
+list as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs, first(struct_pack(start := start, length := length, period := period) order by length desc, start, period) as top from run group by doc_id)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, top.start::bigint as start, top.length::bigint as length, top.period::bigint as period, (1000 * top.length // top.period)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from documents d left join list on list.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id""",
 }
