@@ -8,6 +8,7 @@ from .bpe import op4_byte_bpe
 from .embedding_join import op2_embedding_dedup
 from .jaccard_join import op6_ngram_jaccard_join
 from .language_id import op3_language_id
+from .lexical_search import op13_lexical_search
 from .license_scan import op5_license_scan
 from .line_dedup import op1_line_dedup
 from .mixing import op7_source_mixing
@@ -38,6 +39,7 @@ QUERIES = {
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_quality_rules": op10_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
 }
 #: Plain SQL for those that it can express. Reachability is a recursive union of pairs.
@@ -76,4 +78,14 @@ kept as (select doc_id, string_agg(w, ' ' order by i) as text from w anti join g
 list as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs, first(struct_pack(start := start, length := length, period := period) order by length desc, start, period) as top from run group by doc_id)
 select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, top.start::bigint as start, top.length::bigint as length, top.period::bigint as period, (1000 * top.length // top.period)::bigint as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
 from documents d left join list on list.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id""",
+    "op13_lexical_search": r"""
+with d as (select doc_id, row_number() over () as k, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+s as (select count(*) as n_docs, sum(len(t))::bigint as total from d where len(t) > 0),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+p as (select k, doc_id, t, n, count(*) as tf from (select k, doc_id, len(t) as n, unnest(t) as t from d) where t in (select t from i) group by all),
+w as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, s group by t, n_docs),
+x as (select k, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // total))) as x from p join w using (t), s),
+r as (select item_id, k, doc_id, sum(x)::bigint as score from x join i using (t) group by all having sum(x) > 0),
+o as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from r)
+select * from o where rank <= 50""",
 }
