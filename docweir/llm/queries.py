@@ -15,6 +15,7 @@ from .mixing import op7_source_mixing
 from .periodic_runs import op12_periodic_runs
 from .perplexity import op9_kneser_ney_quality
 from .quality_rules import op10_quality_rules
+from .suffix_dedup import op11_suffix_dedup
 from .token_packing import op8_token_packing
 
 
@@ -38,6 +39,7 @@ QUERIES = {
     "op8_token_packing": op8_token_packing,
     "op9_kneser_ney_quality": op9_kneser_ney_quality,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_lexical_search": op13_lexical_search,
     "pipeline": pipeline,
@@ -88,4 +90,17 @@ x as (select k, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50
 r as (select item_id, k, doc_id, sum(x)::bigint as score from x join i using (t) group by all having sum(x) > 0),
 o as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from r)
 select * from o where rank <= 50""",
+    "op11_suffix_dedup": r"""
+with d as (select row_number() over () as k, doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+p as (select k, h, unnest(generate_series(0, len(h) // 2 - 200)) as s from d where len(h) >= 400),
+w as (select k, s, md5_number(substr(h, 2 * s + 1, 400)) as g from p),
+r as (select k, s from w where g in (select g from w group by g having count(*) > 1)),
+n as (select k, s, s - lag(s) over (partition by k order by s) > 200 as far from r),
+g as (select k, s, sum(case when far then 1 else 0 end) over (partition by k order by s) as g from n),
+gone as (select k, min(s) as b, max(s) + 200 as e from g group by k, g.g),
+ends as (select k, e as b, lead(b, 1) over (partition by k order by b) as e from gone union all select k, 0, min(b) from gone group by k),
+kept as (select k, string_agg(substr(h, 2 * b + 1, 2 * (coalesce(e, len(h) // 2) - b)), '' order by b) as rest from ends join d using (k) group by k),
+sums as (select k, sum(e - b)::bigint as n_removed, count(*) as n_spans from gone group by k)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256
+from d left join sums using (k) left join kept using (k)""",
 }
