@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docweir.plans import more_queries  # noqa: F401  registers further queries
+from docweir.plans import more_queries, run_queries  # noqa: F401  register further queries
 from docweir.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_fuse"

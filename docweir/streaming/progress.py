@@ -1,4 +1,5 @@
-"""Progress events of runs: run_id, seq, stage, status, and optional subgoal_id and hop.
+"""Progress events of runs: run_id, seq, stage, status, and optional subgoal_id and hop. Runs of several pipelines and
+streams of them are in runs.py.
 
 An event whose seq is not above all before it in its run is dropped. An event other than `started`
 takes the place of the latest open `started` of its stage with the same sub-goal and hop, or else
@@ -7,9 +8,6 @@ one where these don't contradict; if there is none it is added.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +32,6 @@ def upsert(current: list[dict], event: dict) -> list[dict]:
     return [*current, event]
 
 
-COLUMNS = ["seq", "stage", "status", "subgoal_id", "hop"]
-STATE = "seq array<long>, stage array<string>, status array<string>, subgoal_id array<string>, hop array<long>"
-
-
-def steps_stream(events: DataFrame) -> DataFrame:
-    """A streaming query's steps of each run after every trigger (append): run_id, n_events, n_open."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(COLUMNS, r, strict=True)) for r in zip(*state.get, strict=True)] if state.exists else []
-        rows = pd.concat(frames).sort_values("event_id")
-        for r in rows[COLUMNS].astype(object).where(rows[COLUMNS].notna(), None).to_dict("records"):
-            held = upsert(held, r)
-        state.update(tuple([e[c] for e in held] for c in COLUMNS))
-        yield pd.DataFrame({"run_id": [key[0]], "n_events": [len(held)], "n_open": [sum(e["status"] == "started" for e in held)]})
-
-    return events.groupBy("run_id").applyInPandasWithState(step, "run_id long, n_events long, n_open long", STATE, "append", "NoTimeout")
-
-
 def windows(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of value by type in tumbling windows of event time, on a batch or a stream."""
     e = events.withWatermark("ts", late) if events.isStreaming else events

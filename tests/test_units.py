@@ -115,19 +115,6 @@ def test_progress():
     assert [(x["seq"], x["status"]) for x in steps] == [(2, "completed"), (3, "failed")]
 
 
-def test_progress_stream(spark, tmp_path):
-    rows = [(k, k % 2, k, "s", "started" if k % 4 < 2 else "completed", None, None) for k in range(12)]
-    schema = "event_id long, run_id long, seq long, stage string, status string, subgoal_id string, hop long"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    out = progress.steps_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = out.writeStream.format("memory").queryName("steps").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert {(r.run_id, r.n_events, r.n_open) for r in spark.table("steps").collect()} == {(0, 3, 0), (1, 3, 0)}
-
-
 def test_io(spark, tmp_path):
     df = spark.createDataFrame([("q", None, 1)], "b string, a string, c int")
     io.write_jsonl(df, str(tmp_path / "j"))
