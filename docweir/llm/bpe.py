@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, cache
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 60_000, 200_000, 80_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 150_000, 200_000, 80_000
 NONE = 1 << 60
 
 

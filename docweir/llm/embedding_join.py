@@ -354,8 +354,10 @@ def _dims(usable: DataFrame, width: int) -> list[int]:
 
 
 def _found(usable: DataFrame, dim: int, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal vectors of dim components (key, rep, n), and what their join gives (see _joined)."""
-    classes = durable(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    """Classes of equal vectors of dim components (key, first: their least id, n, and rep: a number of the
+    class's own, as an id may be repeated with other vectors), and what their join gives (see _joined)."""
+    classes = usable.groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    classes = durable(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     axes = _axes(classes, dim, min(AXES, dim))
     epsilon = math.sqrt(max(2 - 2 * threshold, 1e-12))
     k = axes.shape[1] + 1
@@ -377,9 +379,11 @@ def _found(usable: DataFrame, dim: int, width: int, threshold: float) -> tuple[D
 def _linked(classes: DataFrame, found: DataFrame) -> DataFrame:
     """key, links and component of each class."""
     links = found.where(F.col("kind") == LINKS).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    groups = components(found.where(F.col("kind") == EDGE).select("a", "b"))
-    classes = classes.join(links, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    return durable(classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "linked")
+    groups = durable(components(found.where(F.col("kind") == EDGE).select("a", "b")).withColumnRenamed("id", "rep"), "groups")
+    least = durable(groups.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("least")), "least")
+    groups = groups.join(least, "component").select("rep", "least")
+    classes = classes.join(links, "rep", "left").join(groups, "rep", "left")
+    return durable(classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "first").alias("component")), "linked")
 
 
 def _result(rows: DataFrame, classes: DataFrame | None) -> DataFrame:

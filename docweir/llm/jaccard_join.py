@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded, components, durable, enter, forget
+from .common import arrow_map, bounded, components, durable, forget, tidy
 from .textvec import U, ngrams, pieces
 
 SIDES = 256
@@ -75,7 +75,6 @@ def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[
     top, shift = max(16, size >> bits), U(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("jaccard")
         kept: list[np.ndarray] = []
         for b in batches:
             for _, _, _, h in sets(b, text, n):
@@ -112,7 +111,7 @@ def frequent(docs: DataFrame, text: str, n: int, size: int = FREQUENT) -> tuple[
         return pd.DataFrame({"keys": [key.tobytes()], "n": [c[order].astype(np.int64).tobytes()]})
 
     bounded(docs.sparkSession)
-    packed = docs.select(text).mapInArrow(count, "slot long, once binary, more binary, times binary")
+    packed = docs.select(text).mapInArrow(tidy(count, "jaccard"), "slot long, once binary, more binary, times binary")
     tops = packed.groupBy("slot").applyInPandas(best, "keys binary, n binary")
     if top << bits <= size:
         rows = tops.collect()  # at most size entries

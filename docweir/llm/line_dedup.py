@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import bounded, durable, enter, forget
+from .common import bounded, durable, forget, tidy
 from .textvec import pieces
 
 LIMIT, MIN_WORDS = 16, 20
@@ -78,7 +78,6 @@ def _spanned(docs: DataFrame, columns: list[str], min_words: int) -> DataFrame:
     """The columns (text is dropped) with spans and n_lines."""
 
     def run(batches):
-        enter("lines")
         for b in batches:
             if b.num_rows:
                 spans, n = _spans(b, min_words)
@@ -87,7 +86,7 @@ def _spanned(docs: DataFrame, columns: list[str], min_words: int) -> DataFrame:
 
     fields = [f for f in docs.select(*columns).schema.fields]
     schema = StructType([*fields, StructField("spans", ArrayType(_SPAN)), StructField("n_lines", LongType())])
-    return docs.select(*columns, "text").mapInArrow(run, schema)
+    return docs.select(*columns, "text").mapInArrow(tidy(run, "lines"), schema)
 
 
 def _digest(text: str = "text") -> Column:
@@ -119,7 +118,6 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
     # a document's own chunks, at most twice as many as its lines, with the bytes of each
 
     def cut_out(batches):
-        enter("lines")
         for b in batches:
             if not b.num_rows:
                 continue
@@ -136,7 +134,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Dat
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *[lists.field(c) for c in ("chunk", "hash", "start", "stop", "line", "lines", "is_first")], body], ["doc_id", "digest", "chunk", "hash", "start", "stop", "line", "lines", "is_first", "body"])
 
     bodies = known.join(wanted, ["doc_id", "digest"]).select("doc_id", "digest", "text", "w")
-    bodies = durable(bodies.mapInArrow(cut_out, "doc_id long, digest binary, chunk int, hash long, start long, stop long, line int, lines int, is_first boolean, body binary"), "bodies")
+    bodies = durable(bodies.mapInArrow(tidy(cut_out, "lines"), "doc_id long, digest binary, chunk int, hash long, start long, stop long, line int, lines int, is_first boolean, body binary"), "bodies")
     firsts = durable(bodies.where("is_first").select("hash", F.col("body").alias("first_body")).distinct(), "firsts")
     gone = bodies.where("not is_first").join(firsts, "hash").where("body = first_body")
     gone = durable(gone.select("doc_id", "digest", "chunk", "start", "stop", "line", "lines").distinct(), "gone")
@@ -182,7 +180,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cuts = cuts.select(F.col("doc_id").alias("_docweir_id"), F.col("digest").alias("_docweir_digest"), "_docweir_cuts")
     joined = docs.join(cuts, (docs["doc_id"] == F.col("_docweir_id")) & (_digest() == F.col("_docweir_digest")), "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_docweir_cuts")
-    out = joined.mapInArrow(_strip, StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]))
+    out = joined.mapInArrow(tidy(_strip, "lines"), StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

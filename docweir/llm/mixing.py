@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import arrow_map, durable
+from .common import arrow_map, durable, tidy
 from .textvec import pieces
 
 BLOCK, SEED = 64, 20240607
@@ -247,7 +247,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
         some = some.withColumn("_docweir_n", F.row_number().over(Window.partitionBy("_docweir_d").orderBy(F.lit(0))))
         here = here & (F.col("_docweir_n") == F.col("_docweir_k"))
     both = some.join(said.hint("merge"), here).select(*[F.col(f"`{c}`") for c in docs.columns], "_docweir_parts")
-    out = both.mapInArrow(_cut, StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]))
+    out = both.mapInArrow(tidy(_cut, "mixing"), StructType([StructField("text", StringType()) if f.name == "text" else f for f in docs.schema.fields]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded, durable
+from .common import arrow_map, bounded, durable, tidy
 from .textvec import U, Texts, mix, pieces
 
 QUANTILE, INSIDE = 0.99, 5
@@ -114,7 +114,7 @@ def scored(docs: DataFrame, entries: DataFrame) -> DataFrame:
                 at = order[first]
                 yield pa.RecordBatch.from_arrays([pa.array(row[i + doc[at]]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()), pa.array(n), *[pa.array(x[at].view(np.int64)) for x in keys]], names)
 
-    g = docs.select("doc_id", "lang", "text").mapInArrow(rows, "row long, doc_id long, lang string, n long, k3 long, k12 long, k23 long, w long, v long")
+    g = docs.select("doc_id", "lang", "text").mapInArrow(tidy(rows, "perplexity"), "row long, doc_id long, lang string, n long, k3 long, k12 long, k23 long, w long, v long")
     for kind, key in ((P3, "k3"), (P2, "k23"), (P1, "w"), (B2, "k12"), (B1, "v")):
         g = g.join(entries.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("value").alias(f"x{kind}")), key, "left").drop(key)
     base = entries.where((F.col("kind") == P1) & (F.col("key") == 0)).first()["value"]

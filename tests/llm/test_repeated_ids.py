@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweir.llm import jaccard_join, line_dedup, mixing, quality_rules
+from docweir.llm import embedding_join, jaccard_join, line_dedup, mixing, quality_rules
 
 from .conftest import prose
 
@@ -150,3 +150,10 @@ def test_quality_labels_at_a_larger_size(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     j = quality_rules.judge(docs).join(labels, "doc_id").where("not base_failed").select("quality", "kept").collect()
     assert sum(r.kept == bool(r.quality) for r in j) >= 0.99 * len(j)
+
+
+def test_vectors_of_a_repeated_id(spark):
+    """Each row of an id with several vectors has its own links."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (5, [0.0, -1.0]), (4, [0.01, -1.0]), (4, [0.01, -1.0])]
+    got = embedding_join.join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 4, False)]
