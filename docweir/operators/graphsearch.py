@@ -68,9 +68,11 @@ def match_concepts(queries: DataFrame, concepts: DataFrame, top_k: int = 5, leas
     share = q.join(c, "word").groupBy("query_id", "name", "size").agg(F.count("*").alias("overlap"))
     share = durable(share.select("query_id", "name", (F.col("overlap") / F.col("size")).alias("score")).where(F.col("score") >= least), "concept-words")
     rest = queries.join(share.select("query_id").distinct(), "query_id", "left_anti").where("embedding is not null")
-    # concepts are numbered so that of equal cosines the later name has the smaller number
-    numbered = durable(concepts.select("name", "embedding", F.xxhash64("name").alias("vec_id")), "concept-vectors")
-    near = vectors.search(numbered, rest.select("query_id", "embedding"), 2 * top_k, least=cosine)
+    # concepts are numbered in the order of their names, the last first, so that of equal cosines the later name
+    # has the smaller number
+    number = F.monotonically_increasing_id()
+    numbered = durable(concepts.where("embedding is not null").select("name", "embedding").orderBy(F.desc("name")).withColumn("vec_id", number), "concept-vectors")
+    near = vectors.search(numbered, rest.select("query_id", "embedding"), top_k, least=cosine, own=True)
     found = near.join(numbered.select("vec_id", "name"), "vec_id").select("query_id", "name", "score")
     both = share.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("name"))
@@ -85,7 +87,11 @@ def concept_facts(vertices: DataFrame, edges: DataFrame, matched: DataFrame, cap
     v = some.select(F.col("dst").alias("concept"), F.col("src").alias("value"))
     laws = vertices.where("entity_type = 'VanBan'").select(F.col("entity_id").alias("src"))
     d = by.where("relation = 'QUY_DINH'").join(laws, "src", "left_semi").select(F.col("dst").alias("value"), F.col("src").alias("document"))
-    rows = matched.select("query_id", F.col("name").alias("concept")).distinct().join(v, "concept").join(d, "value", "left")
+    # the order is concept, value, document, so no query needs more than the first cap rows of a concept: these
+    # are found once for each concept, whatever the number of queries
+    w = Window.partitionBy("concept").orderBy("value", F.asc_nulls_first("document"))
+    first = v.join(d, "value", "left").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+    rows = matched.select("query_id", F.col("name").alias("concept")).distinct().join(first, "concept")
     w = Window.partitionBy("query_id").orderBy("concept", "value", F.asc_nulls_first("document"))
     rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap)
     applies = rows.select("query_id", F.col("value").alias("src"), F.col("concept").alias("dst"), F.lit("AP_DUNG_CHO").alias("relation"))

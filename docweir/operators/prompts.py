@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docweir.functions import text as T
 
+#: The headings of a prompt's parts.
+CONTEXT, CATALOG, GRAPH = "NGỮ CẢNH:", "CATALOG:", "TRI THỨC ĐỒ THỊ (quan hệ giữa văn bản/khái niệm — KHÔNG phải trích dẫn nguyên văn):"
+MISSING, QUESTION = "PHẦN CÒN THIẾU BẰNG CHỨNG (nêu rõ trong câu trả lời, KHÔNG bịa):", "CÂU HỎI: "
 #: What stands for an empty context, a note that is missing, and goals without evidence.
 NO_CONTEXT, NO_NOTE, NO_EVIDENCE = "(không có ngữ cảnh)", "chưa đủ bằng chứng", "Không có bằng chứng."
 
@@ -48,18 +51,20 @@ def context(citations: DataFrame) -> DataFrame:
     return b.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["block"]), "\n\n").alias("context"))
 
 
-def prompt(questions: DataFrame, contexts: DataFrame, goals: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """question_id and prompt of questions (question_id, text): context, facts (question_id, rank, line), what
+def prompt(questions: DataFrame, contexts: DataFrame, goals: DataFrame, facts: DataFrame | None = None, outlines: DataFrame | None = None) -> DataFrame:
+    """question_id and prompt of questions (question_id, text): context, outlines (question_id, outline), facts (question_id, rank, line), what
     is without evidence (goals: question_id, subgoal, description, satisfied, note), and the question."""
     lacks = goals.where(~F.col("satisfied")).select("question_id", F.struct("subgoal", F.concat(F.lit("- "), "description", F.lit(": "), F.coalesce(F.nullif("note", F.lit("")), F.lit(NO_NOTE))).alias("line")).alias("g"))
     lacks = lacks.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("g")), lambda x: x["line"]), "\n").alias("missing"))
     q = questions.join(contexts, "question_id", "left").join(lacks, "question_id", "left")
-    said = F.lit(None).cast("string")
+    said = catalogs = F.lit(None).cast("string")
     if facts is not None:
         f = facts.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n").alias("facts"))
         q, said = q.join(f, "question_id", "left"), F.col("facts")
-    part = lambda head, body: F.concat(F.lit(head), body)
-    parts = F.array(part("NGỮ CẢNH:\n", F.coalesce("context", F.lit(NO_CONTEXT))), part("TRI THỨC ĐỒ THỊ:\n", said), part("PHẦN CÒN THIẾU BẰNG CHỨNG:\n", F.col("missing")), part("CÂU HỎI: ", F.col("text")))
+    if outlines is not None:
+        q, catalogs = q.join(outlines, "question_id", "left"), F.nullif(T.strip(F.col("outline")), F.lit(""))
+    part = lambda head, body: F.concat(F.lit(f"{head}\n"), body)
+    parts = F.array(part(CONTEXT, F.coalesce("context", F.lit(NO_CONTEXT))), part(CATALOG, catalogs), part(GRAPH, said), part(MISSING, F.col("missing")), F.concat(F.lit(QUESTION), F.col("text")))
     return q.select("question_id", F.array_join(F.array_compact(parts), "\n\n").alias("prompt"))
 
 

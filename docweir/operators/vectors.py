@@ -60,9 +60,10 @@ def _found(qi: np.ndarray, best: np.ndarray, who: np.ndarray, least: float | Non
     return pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(who[r, c]), pa.array(best[r, c])], ["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, vec_id: str = "vec_id", embedding: str = "embedding", broadcast: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, vec_id: str = "vec_id", embedding: str = "embedding", broadcast: int | None = None, own: bool = False) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest other vectors of each query by cosine (1e-9 in the
-    denominator), those of at least `least` if given. queries: query_id, embedding.
+    denominator), those of at least `least` if given. queries: query_id, embedding. own: ids of queries are no
+    ids of vectors, so a vector of the same number is another one.
 
     Blocks of queries are written once. Up to `broadcast` bytes of them (BROADCAST) go to the vectors where
     these lie, and each task keeps the k best of a query; more are joined with the blocks of vectors by
@@ -85,7 +86,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None =
                         if dim != r["dim"]:
                             continue
                         s = _cosines(x, y)
-                        s[qi[:, None] == vi[None]] = -np.inf
+                        if not own:
+                            s[qi[:, None] == vi[None]] = -np.inf
                         new = _nearest(s, np.broadcast_to(vi, s.shape), k)
                         held[n] = new if held[n] is None else _nearest(*(np.concatenate([o, w], 1) for o, w in zip(held[n], new, strict=True)), k)
             for ((qi, _), _), best in zip(blocks, held, strict=True):
@@ -103,7 +105,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None =
                 for r in b.to_pylist():
                     (qi, x), (vi, y) = _matrix(r["q_ids"], r["q_vecs"], r["dim"]), _matrix(r["ids"], r["vecs"], r["dim"])
                     s = _cosines(x, y)
-                    s[qi[:, None] == vi[None]] = -np.inf
+                    if not own:
+                        s[qi[:, None] == vi[None]] = -np.inf
                     yield _found(qi, *_nearest(s, np.broadcast_to(vi, s.shape), k), least)
 
         pairs = each.join(sides, ["number", "dim"]).select("q_ids", "q_vecs", "ids", "vecs", "dim")

@@ -182,12 +182,22 @@ def _cited(spark, sf):
 
 @query(f"""with {_LINES}, b as (select *, row_number() over (partition by question_id order by rank) as n from li), c as (select question_id, string_agg(concat('[', n, '] (Tài liệu: ', title, ', đoạn #', chunk_index, ')', chr(10), content), chr(10) || chr(10) order by n) as context from b group by question_id),
 g as (select question_id, string_agg(concat('- goal ', rank, ': ', case when rank % 2 = 0 then 'chưa đủ bằng chứng' else 'more' end), chr(10) order by rank) as missing from li where rank >= 3000000000000000000 group by question_id)
-select o_orderkey as question_id, md5(concat('NGỮ CẢNH:', chr(10), coalesce(context, '(không có ngữ cảnh)'), case when missing is null then '' else concat(chr(10), chr(10), 'PHẦN CÒN THIẾU BẰNG CHỨNG:', chr(10), missing) end, chr(10), chr(10), 'CÂU HỎI: ', o_orderpriority)) as prompt_md5 from orders left join c on c.question_id = o_orderkey left join g on g.question_id = o_orderkey""")
+select o_orderkey as question_id, md5(concat('NGỮ CẢNH:', chr(10), coalesce(context, '(không có ngữ cảnh)'), case when o_orderkey % 3 = 0 then concat(chr(10), chr(10), 'CATALOG:', chr(10), '# ', o_orderstatus) else '' end,
+  case when f.lines is null then '' else concat(chr(10), chr(10), 'TRI THỨC ĐỒ THỊ (quan hệ giữa văn bản/khái niệm — KHÔNG phải trích dẫn nguyên văn):', chr(10), f.lines) end,
+  case when missing is null then '' else concat(chr(10), chr(10), 'PHẦN CÒN THIẾU BẰNG CHỨNG (nêu rõ trong câu trả lời, KHÔNG bịa):', chr(10), missing) end, chr(10), chr(10), 'CÂU HỎI: ', o_orderpriority)) as prompt_md5
+from orders left join c on c.question_id = o_orderkey left join g on g.question_id = o_orderkey
+left join (select l_orderkey as question_id, string_agg(concat('- p', l_partkey, ' --QUY_DINH--> s', l_suppkey, case when l_linenumber = 1 then concat(' ({{"flag":"', l_returnflag, '"}})') else '' end, case when l_linenumber = 2 then '' else concat(' [nguồn: t', l_linenumber, ']') end), chr(10) order by l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey) as lines from lineitem where l_returnflag = 'R' group by l_orderkey) f on f.question_id = o_orderkey""")
 def advanced_prompts(spark, sf):
     cited = _cited(spark, sf)
     goals = cited.select("question_id", F.col("rank").alias("subgoal"), F.concat(F.lit("goal "), F.col("rank").cast("string")).alias("description"), (F.col("rank") < 3 * 10**18).alias("satisfied"), F.when(F.col("rank") % 2 == 0, "").otherwise("more").alias("note"))
-    q = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("text"))
-    return prompts.prompt(q, prompts.context(cited), goals).select("question_id", F.md5("prompt").alias("prompt_md5"))
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    q = o.select(F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("text"))
+    said = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string"))
+    props = F.map_filter(F.create_map(F.lit("flag"), "l_returnflag"), lambda k, v: F.col("l_linenumber") == 1)
+    line = prompts.fact_line(said("p", "l_partkey"), F.lit("QUY_DINH"), said("s", "l_suppkey"), props, F.when(F.col("l_linenumber") == 2, "").otherwise(said("t", "l_linenumber")))
+    facts = li.select(F.col("l_orderkey").alias("question_id"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("rank"), line.alias("line"))
+    outlines = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("question_id"), said("# ", "o_orderstatus").alias("outline"))
+    return prompts.prompt(q, prompts.context(cited), goals, facts, outlines).select("question_id", F.md5("prompt").alias("prompt_md5"))
 
 
 @query(f"with {_LINES}, f as (select question_id, doc_id, min(rank) as first from li group by all) select question_id, doc_id, row_number() over (partition by question_id order by first, doc_id) as rank from f join part on p_partkey = doc_id where p_size % 5 <> 0")

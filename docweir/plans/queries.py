@@ -124,12 +124,6 @@ def fuzzy_pairs(spark, sf):
     return vectors.best_pairs(table(spark, sf, "embeddings"), 60, 0.35).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query(_PAIRS)
-def fuzzy_pairs_all(spark, sf):
-    """The same under the name that it had when fuzzy_pairs took a part of the pairs."""
-    return fuzzy_pairs(spark, sf)
-
-
 _FUSE = """kn as (select query_id, doc_id, 0.5 * score / max(score) over (partition by query_id) as part from keyword), dn as (select query_id, doc_id, 0.5 * score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) as part from dense),
 fused as (select query_id, doc_id, round(sum(part), 4) as score from (select * from kn union all select * from dn) z group by all)"""
 
@@ -454,16 +448,6 @@ def page_join(spark, sf):
     return io.joined_pages(io.parsed_pages(pages)).select("document_id", "text", "n_fallback")
 
 
-@query()
-def retrieval_loop(spark, sf):
-    """Questions are the benchmark's items; no SQL: the loop ends when all goals are satisfied."""
-    from .retrieval import retrieve
-
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    found, _ = retrieve(q, table(spark, sf, "documents"))
-    return found.withColumn("score", F.round("score", 4))
-
-
 @query("""with v as (select *, right(entity_id, 2) as file_path from vertices), own as (select file_path, min(entity_id) as src from v where entity_type = 'VanBan' group by file_path)
 select own.src, v.entity_id as dst from v join own using (file_path) where v.entity_type in ('GiaTriQuyDinh', 'KhaiNiem') and not exists (select 1 from edges e where e.src = own.src and e.dst = v.entity_id)""", "vertices edges")
 def provenance_link(spark, sf):
