@@ -2,8 +2,8 @@
 
 Every rule votes good or bad on a document or abstains. How often each rule gives each vote on good
 and on bad documents is estimated by expectation-maximisation (Dawid and Skene), from nothing but
-the votes; the posterior probability of good replaces the demand that a document pass all rules. Rules
-overlap (symbols and letters, repeats and variety), as agreement is what tells a good rule from a noisy one.
+the votes; the posterior probability of good replaces the demand that a document pass all rules. Agreement
+is what tells a good rule from a noisy one; a rule that sees a kind of its own counts alone if it alarms rarely.
 
 The votes of a corpus are counted by pattern, of which there are at most 3 ** len(RULES), so what
 reaches the driver has a fixed bound. Counts cover all documents.
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable, enter
 from .textvec import SPACE, by_doc, mix, ngrams, pieces
 
+#: The share of lone alarms at which a rule is as likely to be wrong as right; how much of a kind a sharp rule sees.
+ALONE, SHARP = 1 / 3, 0.9
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What the rules read besides the measures of the contract.
 MORE = ["n_lines", "n_upper", "n_letters", "n_bars", "n_shouts", "n_stops", "n_beyond", "n_distinct"]
@@ -140,9 +142,15 @@ def estimate(counts: dict[int, int], n_rules: int) -> dict[int, float]:
     votes of all documents; none is given or held. Bad documents differ in kind (one is all capitals,
     another all symbols), so there may be several bad classes. The fit starts with one for each rule,
     holding what the rule calls bad, and drops classes as long as Akaike's information criterion gets
-    better. A class is good if its documents expect less than one bad vote: a single rule that cries
-    wolf thus is part of the good class and outvoted, rules that agree make a bad class. No pattern gives
-    no posterior.
+    better. Classes that expect a bad vote or more are bad: rules agree there. What a rule's own vote is worth
+    is seen by how often it is right where others agree, so a rule that cries wolf is outvoted.
+
+    Lone bad votes among what the classes call good may be a kind of document that just one rule sees. They
+    are taken for that if the rule gives them clearly more often than the median rule (random alarms come from
+    all rules), and is not known to be loose: it has a bad vote for SHARP of the documents of a bad class, or no
+    class has to do with it. Nothing but their rate tells how far to trust them: with a share a of the good
+    classes' documents, they stay good with probability a / (a + ALONE). So few alarms count alone, and a rule
+    that calls more than ALONE of all else bad is noise. No pattern gives no posterior.
     """
     if not counts:
         return {}
@@ -167,7 +175,12 @@ def estimate(counts: dict[int, int], n_rules: int) -> dict[int, float]:
         score = fit - cost(share.shape[1])
     share, _, table = _fit(votes, n, share)
     good = table[:, :, 0].sum(1) < 1
-    return {k: float(g) for k, g in zip(keys, share[:, good].sum(1), strict=True)}
+    p = share[:, good].sum(1)
+    lone = (p * n) @ bad / max(float(p @ n), 1e-9)  # of each rule, among what the classes call good
+    caught = table[~good, :, 0].max(0) if (~good).any() else np.zeros(n_rules)
+    own_kind = (lone > 3 * np.median(lone)) & ((caught >= SHARP) | (caught <= np.maximum(2 * lone, 0.1)))
+    p *= np.where(bad & own_kind, lone / (lone + ALONE), 1).prod(1)
+    return {k: float(g) for k, g in zip(keys, p, strict=True)}
 
 
 def posterior(spark: SparkSession, by_pattern: DataFrame) -> DataFrame:
@@ -202,7 +215,8 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns.
 
     Texts are measured twice, once to count the votes and once to filter, so that no text is
-    shuffled and rows need no key.
+    shuffled and rows need no key. Null and empty texts go, repeated rows and null ids are judged each; no
+    rows give none.
     """
     names = [*MEASURES, *MORE]
     votes = measured(docs).groupBy(pattern().alias("pattern")).agg(F.count("*").alias("n"))
