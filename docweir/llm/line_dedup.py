@@ -1,10 +1,12 @@
 """Line dedup by content-defined chunks.
 
 A document's lines are split at line feeds. From every line that has words the shortest run of lines
-with at least MIN_WORDS words is a chunk, and so is the shortest such run up to it, of LIMIT lines at
-most. A chunk depends on its own lines alone, so any passage of whole lines and at least MIN_WORDS
+with at least MIN_WORDS words is a chunk, and so is the shortest such run up to it, however many lines that
+takes. A chunk depends on its own lines alone, so any passage of whole lines and at least MIN_WORDS
 words has the same chunks wherever it stands, and they cover all of it: its first line begins one, its
-last line ends one, and each line after the first chunk ends one too. Chunks overlap.
+last line ends one, and each line after the first chunk ends one too. Chunks overlap. Two characters of
+scripts that are written without spaces count as a word. A line is in MIN_WORDS chunks of each kind at
+most, as every one begins or ends at a line of its own that has a word.
 
 A chunk that stands in the corpus twice or more is removed everywhere but at its first place, by
 document id and then position. A removed line thus always has an equal one at an earlier place. Hashes
@@ -26,26 +28,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import bounded, durable, forget, tidy
-from .textvec import pieces
+from .textvec import Texts, pieces
 
-LIMIT, MIN_WORDS = 16, 20
+MIN_WORDS = 20
+#: First bytes of characters that are written without spaces: kana and CJK ideographs; Thai, Lao and Khmer by two.
+_SOLID = np.zeros(256, bool)
+_SOLID[0xE3:0xEA] = True
 
 _SPAN = StructType([StructField("chunk", IntegerType()), StructField("hash", LongType()), StructField("line", IntegerType()), StructField("lines", IntegerType()), StructField("start", LongType()), StructField("stop", LongType())])
 
 
+def solid(t: Texts, start: np.ndarray) -> np.ndarray:
+    """Words of each line (by its first byte) that no space tells: half its characters of scripts without."""
+    b = t.buf
+    flags = _SOLID[b]
+    flags[:-1] |= (b[:-1] == 0xE0) & (b[1:] >= 0xB8) & (b[1:] <= 0xBB) | (b[:-1] == 0xE1) & (b[1:] >= 0x9E) & (b[1:] <= 0x9F)
+    return np.add.reduceat(flags, start, dtype=np.int64) // 2 if len(start) else np.zeros(0, np.int64)
+
+
 def chunks(batch: pa.RecordBatch, name: str = "text", min_words: int = MIN_WORDS):
     """For runs of rows: row, number in its row, hash, lines, words, first and last+1 byte of each
     chunk, with the Texts; and the rows' numbers of lines."""
     for i, j, t in pieces(batch, name):
         doc, s, e = t.lines()
         _, ws, _ = t.words()
-        words = np.bincount(np.searchsorted(s, ws, "right") - 1, minlength=len(s))
+        words = np.bincount(np.searchsorted(s, ws, "right") - 1, minlength=len(s)) + solid(t, s)
         upto = np.concatenate([[0], np.cumsum(words)])
         some = np.flatnonzero(words)
         # the shortest runs from and up to each line; as upto rises at lines with words, those are their ends
         first = np.concatenate([some, np.searchsorted(upto, upto[some + 1] - min_words, "right") - 1])
         end = np.concatenate([np.searchsorted(upto, upto[some] + min_words) - 1, some])
-        ok = (first >= 0) & (end < len(s)) & (end - first < LIMIT)
+        ok = (first >= 0) & (end < len(s))
         ok[ok] = doc[first[ok]] == doc[end[ok]]
         first, end = np.divmod(np.unique(first[ok] * len(s) + end[ok]), max(1, len(s)))
         d, start, stop = doc[first], s[first], e[end]
