@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -13,8 +12,8 @@ from .chunking import top
 from .durable import durable
 
 BLOCK = 1024
-#: Bytes of query blocks that go to every executor; blocks that meet in a group.
-BROADCAST, PART = 64 << 20, 16
+#: Bytes of query blocks that go to every executor.
+BROADCAST = 64 << 20
 
 
 def cosine(a: str, b: str):
@@ -114,44 +113,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, least: float | None =
     return top(found, "query_id", F.col("score"), F.col("vec_id"), k)
 
 
-def best_pairs(vectors: DataFrame, k: int, least: float, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """a, b, score: of all pairs a < b with a cosine (1e-9 in the denominator) of at least `least`, the k
-    best; of equal scores the larger a, then the larger b.
-
-    Blocks are dealt to parts of about PART blocks, and every two parts meet in a group, which gives k rows
-    at most. The work grows with the square of the number of vectors, the rows with that of the parts.
-    """
-    blocks = durable(_blocks(vectors, vec_id, embedding, BLOCK).withColumn("number", F.monotonically_increasing_id()), "pair-blocks")
-    parts = max(1, blocks.count() // PART)
-    dealt = blocks.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = dealt.select("dim", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "number", "ids", "vecs")
-
-    def near(pdf):
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        rows = [(r.part, r.number, *_matrix(r.ids, r.vecs, r.dim)) for r in pdf.itertuples()]
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for part, number, ai, u in rows:
-            for other, second, bi, w in rows:
-                if part != x or other != y or (x == y and number > second):
-                    continue
-                s = _cosines(u, w)
-                ok = (s >= least) & (ai[:, None] != bi[None])
-                if number == second:
-                    ok &= ai[:, None] < bi[None]
-                i, j = np.nonzero(ok)
-                new = [np.minimum(ai[i], bi[j]), np.maximum(ai[i], bi[j]), s[i, j]]
-                lo, hi, v = (np.concatenate(c) for c in zip(held, new, strict=True))
-                if len(v) > k:
-                    some = v >= np.partition(v, -k)[-k]
-                    lo, hi, v = lo[some], hi[some], v[some]
-                best = np.lexsort((-hi, -lo, -v))[:k]
-                held = [lo[best], hi[best], v[best]]
-        return pd.DataFrame({"a": held[0], "b": held[1], "score": held[2]})
-
-    found = met.groupBy("dim", "x", "y").applyInPandas(near, "a long, b long, score double")
-    return found.orderBy(F.desc("score"), F.desc("a"), F.desc("b")).limit(k)
-
-
 def normalized(hits: DataFrame) -> DataFrame:
     """score by the largest of its query; a largest of 0 counts as 1."""
     most = F.max("score").over(Window.partitionBy("query_id"))

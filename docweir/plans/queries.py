@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweir.functions import text as T
-from docweir.operators import catalog, chunking, citations, evalkit, graph, lifecycle, vectors
+from docweir.operators import catalog, chunking, citations, closest, evalkit, graph, lifecycle, vectors
 from docweir.sources import io
 from docweir.streaming import progress
 
@@ -121,7 +121,7 @@ select a, b, round(score, 6) as score from p where score >= 0.35 order by p.scor
 
 @query(_PAIRS)
 def fuzzy_pairs(spark, sf):
-    return vectors.best_pairs(table(spark, sf, "embeddings"), 60, 0.35).select("a", "b", F.round("score", 6).alias("score"))
+    return closest.best_pairs(table(spark, sf, "embeddings"), 60, 0.35).select("a", "b", F.round("score", 6).alias("score"))
 
 
 _FUSE = """kn as (select query_id, doc_id, 0.5 * score / max(score) over (partition by query_id) as part from keyword), dn as (select query_id, doc_id, 0.5 * score / coalesce(nullif(max(score) over (partition by query_id), 0), 1) as part from dense),
