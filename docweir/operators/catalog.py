@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docweir.functions import text as T
 
+from .durable import durable
+
 #: The longest name, and what counts as a letter.
 LONGEST, LETTER = 120, "[A-Za-zÀ-ỹ]"
 
@@ -95,6 +97,27 @@ def generated(units: DataFrame, answer, fallback: DataFrame | None = None, longe
     return pruned(paths)
 
 
+def units(chunks: DataFrame, pages: DataFrame, source: str = "chunks") -> DataFrame:
+    """doc_id, unit and text of what a catalog is taken from: chunks (doc_id, chunk_index, final_content), or with
+    `pages` pages (doc_id, page_number, parsed_text)."""
+    if source not in ("chunks", "pages"):
+        raise ValueError(f"no source of catalogs: {source}; known: chunks, pages")
+    if source == "pages":
+        return pages.select("doc_id", F.col("page_number").cast("long").alias("unit"), F.coalesce("parsed_text", F.lit("")).alias("text"))
+    return chunks.select("doc_id", F.col("chunk_index").cast("long").alias("unit"), F.col("final_content").alias("text"))
+
+
+def recatalogued(documents: DataFrame, units: DataFrame, answer) -> tuple[DataFrame, DataFrame]:
+    """(catalogs, state) of documents (doc_id). catalogs: generated() of their units, for those that have any; state:
+    doc_id and state, `done`, `skipped` (no units), or `empty` (their units name nothing, so that the old
+    catalog is to stay)."""
+    own = units.join(documents.select("doc_id"), "doc_id", "left_semi")
+    new = durable(generated(own, answer), "recatalogued")
+    has, made = own.select("doc_id").distinct().withColumn("_has", F.lit(True)), new.select("doc_id").distinct().withColumn("_made", F.lit(True))
+    state = F.when(F.col("_made"), "done").when(F.col("_has"), "empty").otherwise("skipped")
+    return new, documents.select("doc_id").join(has, "doc_id", "left").join(made, "doc_id", "left").select("doc_id", state.alias("state"))
+
+
 def names(paths: DataFrame) -> DataFrame:
     """doc_id and name, each once, at every level."""
     return paths.select("doc_id", F.explode("path").alias("name")).distinct()

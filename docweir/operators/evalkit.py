@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 
 def breakdown(scores: DataFrame) -> DataFrame:
     """slice, name, metric, mean: the mean of value by synthesizer and by persona (scores: synthesizer,
@@ -24,6 +27,11 @@ def latest(records: DataFrame, keys: list[str], order: str) -> DataFrame:
     return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def positive(weights: DataFrame) -> DataFrame:
+    """The kinds (name, weight, ..) that a set is drawn from: those of a weight above 0."""
+    return weights.where("weight > 0")
+
+
 def backfill(weights: DataFrame) -> DataFrame:
     """weights (name, weight, clusters, multi) with the weight of multi-hop kinds without clusters given
     to single-hop, in the first name; moved is what a kind gave."""
@@ -161,6 +169,38 @@ def ran(samples: DataFrame, techniques: Techniques, names: list[str]) -> DataFra
     return out
 
 
+def raced(questions: DataFrame, techniques: Techniques, names: list[str]) -> DataFrame:
+    """pipeline, question_id, answered, contexts, error, returned and total_ms of each named technique on each of the same
+    questions (question_id, text), in one table that survives the techniques' sources.
+
+    A technique that fails has a row for each question with the failure's kind in error, and leaves the others
+    as they are; a question without contexts isn't answered. total_ms is the wall clock's of the technique's one
+    pass over all questions, returned the rows that it gave, counted as they are written.
+    """
+    spark, out = questions.sparkSession, None
+    for name in names:
+        answer = techniques.resolve(name)
+        began, seen = time.perf_counter(), Observation()
+        try:
+            a = answer(questions).select("question_id", F.col("contexts").cast("array<string>").alias("contexts"))
+            rows = durable(a.observe(seen, F.count("*").alias("n")), f"technique-{name}")
+            error, n = F.lit(None).cast("string"), seen.get["n"]
+        except Exception as e:  # noqa: BLE001  any failure is the technique's own
+            rows, error = spark.createDataFrame([], "question_id long, contexts array<string>"), F.lit(type(e).__name__)
+            n = 0
+        ms = max(0, round((time.perf_counter() - began) * 1000))
+        some = F.coalesce(F.size("contexts") > 0, F.lit(False))
+        one = questions.select(F.col("question_id").cast("long").alias("question_id")).join(rows, "question_id", "left")
+        one = one.select(F.lit(name).alias("pipeline"), "question_id", some.alias("answered"), "contexts", error.alias("error"), F.lit(n).cast("long").alias("returned"), F.lit(ms).cast("long").alias("total_ms"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def race_summary(rows: DataFrame) -> DataFrame:
+    """pipeline, questions, answered, failed and total_ms of raced()."""
+    return rows.groupBy("pipeline").agg(F.count("*").alias("questions"), F.count_if("answered").alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.max("total_ms").alias("total_ms"))
+
+
 class Techniques:
     """Named ways to answer: each takes questions (question_id, text) and gives question_id, contexts."""
 

@@ -40,3 +40,24 @@ class ClausePlanner:
 def contextual_prefix(raw: Column) -> Column:
     """The first sentence, 120 characters at most."""
     return F.left(F.regexp_extract(T.strip(raw), r"(?s)^(.*?[.!?])(?:\s|$)", 1), F.lit(120))
+
+
+class Rewriter(Protocol):
+    def rewrite(self, question: Column) -> Column: ...
+
+
+class ClauseRewriter:
+    """What follows a greeting or a polite opening, as a model would be asked to leave it out; null where that is
+    the whole question."""
+
+    #: Openings that say nothing of what is asked for.
+    OPENINGS = r"(?iU)^\s*(?:xin chào|chào bạn|cho (?:tôi|mình) hỏi|please|hello|could you tell me)[\s,:!.]*"
+
+    def rewrite(self, question: Column) -> Column:
+        return F.nullif(T.strip(F.regexp_replace(question, self.OPENINGS, "")), F.lit(""))
+
+
+def rewritten(question: Column, rewriter: Rewriter | None = None) -> Column:
+    """The rewriter's question; without a rewriter, or where it gives nothing, the normalized one."""
+    normal = T.normalize_question(question)
+    return normal if rewriter is None else F.coalesce(F.nullif(T.strip(rewriter.rewrite(normal)), F.lit("")), normal)
