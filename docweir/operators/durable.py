@@ -36,16 +36,21 @@ _scopes: list[list[str]] = []
 _runs: set[str] = set()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when the process ends."""
+    run = f"{shared_dir(spark)}/{_RUN}"
+    if run not in _runs:
+        _runs.add(run)
+        atexit.register(_end, spark, run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that what follows neither
     repeats its work nor depends on an executor that may be lost. The process's tables are deleted when it
     ends, or as a scope() around them ends."""
     spark = df.sparkSession
-    run = f"{shared_dir(spark)}/{_RUN}"
-    if run not in _runs:
-        _runs.add(run)
-        atexit.register(_end, spark, run)
-    path = f"{run}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     if _scopes:
         _scopes[-1].append(path)
