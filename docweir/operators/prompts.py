@@ -90,3 +90,21 @@ def run_summary(events: DataFrame) -> DataFrame:
     failed = F.col("status") == "failed"
     stops = ~F.bool_or("active") & ~F.bool_or(failed) & F.bool_or(F.col("status") == "started")
     return events.groupBy("run_id").agg(F.count_if(F.col("status") == "completed").alias("completed"), F.max_by("label", "seq").alias("latest"), F.max_by("label", F.when(failed, F.col("seq"))).alias("last_failed"), stops.alias("interrupted"))
+
+
+#: Headings of what a judge of goals reads, and what stands for none.
+EVIDENCE, GRAPH_EVIDENCE, NONE, NO_FACTS = "Bằng chứng văn bản:", "Bằng chứng đồ thị:", "  (chưa có bằng chứng)", "  (chưa có bằng chứng đồ thị)"
+
+
+def judge_blocks(goals: DataFrame, evidence: DataFrame, facts: DataFrame, most: int = 6) -> DataFrame:
+    """goal_id and block: what a judge reads of each goal (goal_id, subgoal, description): its first `most` passages
+    (goal_id, rank, content) as snippets, and its first `most` facts (goal_id, rank, line)."""
+
+    def lines(rows: DataFrame, body: Column, name: str) -> DataFrame:
+        w = Window.partitionBy("goal_id").orderBy("rank")
+        first = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("goal_id", F.struct("_n", F.concat(F.lit("  - "), body).alias("line")).alias("r"))
+        return first.groupBy("goal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias(name))
+
+    g = goals.join(lines(evidence, snippet(F.col("content")), "_passages"), "goal_id", "left").join(lines(facts, F.col("line"), "_facts"), "goal_id", "left")
+    head = F.concat(F.lit("["), "subgoal", F.lit("] "), "description")
+    return g.select("goal_id", F.concat_ws("\n", head, F.lit(EVIDENCE), F.coalesce("_passages", F.lit(NONE)), F.lit(GRAPH_EVIDENCE), F.coalesce("_facts", F.lit(NO_FACTS))).alias("block"))

@@ -361,10 +361,14 @@ def relation_keywords(spark, sf):
     return t.select("id", graph.classify_relation(F.col("text")).alias("relation"), T.link_citations(T.strip_fence(fenced)).alias("answer"))
 
 
-@query("""select c_custkey as concept, c_nationkey as doc_id from customer""")
+@query("""with n as (select p_partkey // 40 as doc_id, lower(concat(p_type, ' ', p_name)) as name from part where p_partkey % 3 = 0),
+c as (select p_partkey as concept, unnest([p_partkey // 40, p_partkey // 40 + 2]) as doc_id, list_filter(list_distinct(string_split(lower(concat(p_name, ' ', p_type, ' ', p_brand)), ' ')), lambda w: length(w) >= 3) as w from part),
+s as (select concept, doc_id, len(list_filter(w, lambda x: contains(blob, x))) / len(w)::double as share from c join (select doc_id, string_agg(name, ' | ') as blob from n group by doc_id) b using (doc_id))
+select concept, doc_id, round(share, 6) as share from s where share >= 0.6""")
 def concepts_in_catalog(spark, sf):
-    """Each customer's concept is named by words of its nation's catalog, two thirds of them."""
-    c = table(spark, sf, "customer")
-    names = c.select(F.col("c_nationkey").alias("doc_id"), F.concat(F.lit("Alpha  Beta of "), F.col("c_nationkey").cast("string")).alias("name")).distinct()
-    concepts = c.select(F.col("c_custkey").alias("concept"), F.lit("alpha BETA zzzz (note)").alias("name"), F.array("c_nationkey", F.lit(-1).cast("long") if dict(c.dtypes)["c_nationkey"] == "bigint" else F.lit(-1)).alias("docs"))
-    return resolution.in_catalog(concepts, names).select("concept", "doc_id")
+    """Parts are concepts of their document and of the next but one, whose catalogs name every third part."""
+    p = table(spark, sf, "part")
+    doc = F.expr("p_partkey div 40").cast("long")
+    names = p.where("p_partkey % 3 = 0").select(doc.alias("doc_id"), F.concat_ws("  ", "p_type", "p_name").alias("name"))
+    concepts = p.select(F.col("p_partkey").alias("concept"), F.concat(F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.lit(" (note)")).alias("name"), F.array(doc, doc + 2).alias("docs"))
+    return resolution.in_catalog(concepts, names).select("concept", "doc_id", F.round("share", 6).alias("share"))

@@ -1,5 +1,6 @@
 """Readers with their errors, resolution as a whole, scopes, search on odd vectors and in another order."""
 
+import datetime as dt
 import json
 
 import numpy as np
@@ -128,3 +129,14 @@ def test_no_nested_loops(spark):
     for name in ("graph_stats", "node_merge_edges", "citation_neighbors_h2", "graph_facts", "parallel_edge_dedupe", "contains_lookup"):
         assert "NestedLoop" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString(), name
     assert set(ORACLES) <= set(QUERIES) and graph.TRIPLES
+
+
+def test_version_chains_with_cycles(spark):
+    """Cycles, ids that don't exist, links that only one side has, and a fork."""
+    from docweir.operators import lifecycle
+
+    rows = [(1, 2, None), (2, 3, None), (3, 1, None), (10, 99, None), (11, 10, 98), (20, None, 21), (21, None, None), (30, 30, None), (40, 41, None), (42, 41, None), (41, None, None)]
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=-k)
+    d = spark.createDataFrame([(i, s, b, None, day(i)) for i, s, b in rows], "id long, supersedes_id long, superseded_by_id long, effective_date timestamp, created_at timestamp")
+    got = {r.id: (r.chain, r.version) for r in lifecycle.version_chains(d).collect()}
+    assert got == {3: (1, 1), 2: (1, 2), 1: (1, 3), 11: (10, 1), 10: (10, 2), 21: (20, 1), 20: (20, 2), 30: (30, 1), 42: (40, 1), 41: (40, 2), 40: (40, 3)}
