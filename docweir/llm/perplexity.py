@@ -2,12 +2,16 @@
 
 Trusted documents are those labelled good. Half of them, by a hash of their id, trains the model and
 all others set the thresholds, so both grow with the input. Counts of word trigrams, continuation counts of bigrams
-and words, context totals and back-off weights are Spark tables, sharded by the n-gram's hash and
-joined by it; the discounts of each order come from its counts of counts.
+and words, context totals and back-off weights are Spark tables, joined by the n-gram's hash; the discounts
+of each order come from its counts of counts.
 
-Scoring is joins alike: a document's trigrams are counted within it, and the counts meet the model's
-entries order by order, sharded by the n-gram's hash, whatever the model's size. A hot n-gram's rows
-meet one entry, so that adaptive execution can split them. Nothing but sums of counts reaches the driver.
+A text's logarithm of probability is a sum: what every word gets that was never seen, and a value for each of its
+words, contexts, bigrams and trigrams that the model knows, a known n-gram's being what it is above its back-off. So
+each n-gram is looked up for itself and nothing but sums comes back.
+
+The model is built in slices by its trigrams' middle word, and a part of the documents asks a slice at a time, so that
+no more than a slice and a round's keys lie on disk. Keys and entries go to shards by hash, many in
+a row of bytes, and meet there. A hot n-gram is one entry, and a shard's keys are taken block by block.
 A document is kept when
 its perplexity is within the QUANTILE of the trusted documents of its language that the model wasn't
 trained on. Languages with fewer than INSIDE / (1 - quantile) of these, among which the quantile would
@@ -16,20 +20,29 @@ be one of the INSIDE worst documents or the worst itself, take the quantile of a
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded, durable, tidy
+from .common import arrow_map, bounded, durable, forget, tidy
 from .textvec import U, Texts, mix, pieces
 
 QUANTILE, INSIDE = 0.99, 5
 
 _START = U(0x5851F42D4C957F2D)
 _F = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
-#: Kinds of a model's entries: probabilities of three, two and one words; back-off weights of two and one.
-P3, P2, P1, B2, B1 = range(5)
+#: Mixed into keys of contexts of two words, and of a text's last word, which is nothing's context.
+_CONTEXT, _LAST = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
+#: Slices of the model and rounds of texts for each, from SLICE_BYTES of text for each slice on; fewer for less.
+SLICES, ROUNDS, SLICE_BYTES = 6, 4, 16 << 20
+#: Entries of a shard, and keys in a task before they go out.
+SHARD, PACK, SEED = 500_000, 1_000_000, 20240607
 
 
 def trigrams(t: Texts) -> tuple[np.ndarray, ...]:
@@ -43,9 +56,42 @@ def trigrams(t: Texts) -> tuple[np.ndarray, ...]:
     return doc, mix(a * _F[0] + b * _F[1] + w * _F[2]), mix(a * _F[0] + b * _F[1]), mix(b * _F[0] + w * _F[1]), w, b
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Discounts of n-grams seen once, twice, and more often."""
-    n1, n2, n3, n4 = (float(x or 0) for x in counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first())
+def _slice(word: np.ndarray, slices: int) -> np.ndarray:
+    return (word >> U(33)) % U(slices)
+
+
+def _slices(texts: DataFrame) -> int:
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(SLICES, 1 + size // SLICE_BYTES)
+
+
+@contextlib.contextmanager
+def _brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of each query go as it ends: what is wanted of it is a durable table by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+@dataclass
+class Model:
+    """What all slices of a model share: the trusted texts, the discounts of three, two and one words, the
+    words with the logarithm of their probability, and that of a word that was never seen."""
+
+    texts: DataFrame
+    d3: tuple[float, float, float]
+    d2: tuple[float, float, float]
+    words: DataFrame
+    base: float
+    size: int
+
+
+def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """Discounts of n-grams seen once, twice, and more often, from how many were seen one to four times."""
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     each = [k - (k + 1) * y * (m / n if n else 0) for k, n, m in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
     return tuple(float(np.clip(d, 0.05, k - 0.05)) for k, d in zip((1, 2, 3), each, strict=True))
@@ -62,65 +108,215 @@ def _context(counts: DataFrame, key: str, d: tuple[float, float, float]) -> Data
     return counts.groupBy(key).agg(F.sum("n").alias("total"), ((ones * d[0] + twos * d[1] + rest * d[2]) / F.sum("n")).alias("back"))
 
 
-def model(texts: DataFrame) -> DataFrame:
-    """kind, key and value (natural logarithm) of each entry of the model of texts (text)."""
+def _tokens(texts: DataFrame, by: str, part: int, slices: int) -> DataFrame:
+    """Keys of the trigrams whose word by (w the last, v the middle one) is of the slice."""
+    names = ["k3", "k12", "k23", "w", "v"]
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
         parts = [trigrams(t)[1:] for _, _, t in pieces(b, "text", lower=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[c] for p in parts]).view(np.int64)) for c in range(5)], ["k3", "k12", "k23", "w", "v"])
+        keys = [np.concatenate([p[c] for p in parts]) for c in range(5)]
+        here = _slice(keys[names.index(by)], slices) == part
+        return pa.RecordBatch.from_arrays([pa.array(k[here].view(np.int64)) for k in keys], names)
 
-    three = arrow_map(texts, ["text"], rows, "k3 long, k12 long, k23 long, w long, v long").groupBy("k3", "k12", "k23", "w", "v").agg(F.count("*").alias("n"))
-    three = durable(three, "trigrams")
+    return arrow_map(texts, ["text"], rows, ", ".join(f"{n} long" for n in names), "perplexity")
+
+
+def model(texts: DataFrame, slices: int | None = None) -> Model:
+    """The model of texts (text): a pass over their trigrams, slice by slice of the last word, for the
+    counts of counts of each order and the words."""
+    spark = texts.sparkSession
+    with _brief_shuffles(spark):
+        texts = durable(texts.select("text"), "trusted")
+        slices = slices or _slices(texts)
+        seen = lambda c, k: F.sum((F.col(c) == k).cast("long"))
+        tables = []
+        for part in range(slices):
+            three = _tokens(texts, "w", part, slices).groupBy("k3", "k23", "w").agg(F.count("*").alias("n"))
+            two = three.groupBy("k23", "w").agg(F.count("*").alias("n"), *[seen("n", k).alias(f"three{k}") for k in range(1, 5)])
+            sums = [F.sum(f"three{k}").alias(f"three{k}") for k in range(1, 5)] + [seen("n", k).alias(f"two{k}") for k in range(1, 5)]
+            tables.append(durable(two.groupBy("w").agg(F.count("*").alias("words"), *sums).withColumnRenamed("words", "n"), "words"))
+        one = reduce(DataFrame.union, tables)
+        many = one.agg(*[F.sum(f"{c}{k}") for c in ("three", "two") for k in range(1, 5)], *[seen("n", k) for k in range(1, 5)]).first()
+        d3, d2, d1 = (_discounts(*(float(x or 0) for x in many[i : i + 4])) for i in (0, 4, 8))
+        whole = one.agg(F.sum("n"), F.count("*"), F.sum(F.col("n") - _less(d1))).first()
+        total, size, left = float(whole[0] or 1), float(whole[1] + 1), float(whole[2] or 1)
+        base = left / total / size  # what a word that was never seen gets
+        words = durable(one.select("w", F.log(_less(d1) / total + base).alias("p1")), "word-probabilities")
+        for t in tables:
+            forget(t)
+    return Model(texts, d3, d2, words, float(np.log(base)), int(whole[1]) + sum(int(x or 0) for x in many[:8]))
+
+
+def _entries(m: Model, part: int, slices: int) -> tuple[DataFrame, list[DataFrame]]:
+    """key and value of the entries of a slice, and the tables to forget after them.
+
+    A text's logarithm is a sum of values: base for every word, the value of each word and of each context
+    of one and two words, and what a known bigram or trigram is above its back-off."""
+    three = durable(_tokens(m.texts, "v", part, slices).groupBy("k3", "k12", "k23", "w", "v").agg(F.count("*").alias("n")), "trigrams")
     two = durable(three.groupBy("k23", "w", "v").agg(F.count("*").alias("n")), "bigrams")
-    one = durable(two.groupBy("w").agg(F.count("*").alias("n")), "words")
-    d3, d2, d1 = _discounts(three), _discounts(two), _discounts(one)
-    whole = one.agg(F.sum("n"), F.count("*"), F.sum(F.col("n") - _less(d1))).first()
-    total, size, left = float(whole[0] or 1), float(whole[1] + 1), float(whole[2] or 1)
-    base = left / total / size  # what a word that was never seen gets
-    p1 = one.select("w", (_less(d1) / total + base).alias("p1"))
-    c2 = _context(two, "v", d2)
-    p2 = two.join(c2, "v").join(p1, "w").select("k23", (_less(d2) / F.col("total") + F.col("back") * F.col("p1")).alias("p2"))
-    c3 = _context(three, "k12", d3)
-    p3 = three.join(c3, "k12").join(p2, "k23").select("k3", (_less(d3) / F.col("total") + F.col("back") * F.col("p2")).alias("p3"))
-    entries = [(P3, p3, "k3", "p3"), (P2, p2, "k23", "p2"), (P1, p1, "w", "p1"), (B2, c3, "k12", "back"), (B1, c2, "v", "back")]
-    parts = [t.select(F.lit(kind).alias("kind"), F.col(k).alias("key"), F.log(p).alias("value")) for kind, t, k, p in entries]
-    unseen = texts.sparkSession.createDataFrame([(P1, 0, float(np.log(base)))], "kind int, key long, value double")
-    return durable(parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4]).union(unseen), "model")
-
-
-def scored(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words and log_p (the sum over its words) of each row of docs.
+    c2 = durable(_context(two, "v", m.d2).withColumn("b1", F.log("back")), "contexts")
+    p2 = two.join(c2, "v").join(m.words, "w").select("k23", F.log(_less(m.d2) / F.col("total") + F.col("back") * F.exp("p1")).alias("p2"), (F.col("b1") + F.col("p1")).alias("f2"))
+    p2 = durable(p2, "bigram-probabilities")
+    c3 = durable(_context(three, "k12", m.d3), "bigram-contexts")
+    p3 = three.select("k3", "k12", "k23", "n").join(c3, "k12").join(p2.select("k23", "p2"), "k23")
+    gain = F.log(_less(m.d3) / F.col("total") + F.col("back") * F.exp("p2")) - F.log("back") - F.col("p2")
+    here = m.words.where(F.expr(f"shiftrightunsigned(w, 33) % {slices} = {part}"))
+    zero = F.lit(0.0)
+    word = here.join(c2.select(F.col("v").alias("w"), "b1"), "w", "full")
+    salted = lambda c, salt: F.col(c).bitwiseXOR(F.lit(int(salt.view(np.int64))))
+    parts = [
+        p3.select(F.col("k3").alias("key"), gain.alias("value")),
+        p2.select("k23", F.col("p2") - F.col("f2")),
+        c3.select(salted("k12", _CONTEXT), F.log("back")),
+        word.select("w", F.coalesce(F.col("p1") - m.base, zero) + F.coalesce("b1", zero)),
+        c2.select(salted("v", _LAST), -F.col("b1")),
+    ]
+    return reduce(DataFrame.union, parts), [three, two, c2, p2, c3]
+
+
+def _shards(key: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard and the places of its keys, in their order."""
+    order = np.argsort(key)
+    shard = ((key[order] & U(0xFFFFFFFF)) % U(shards)).astype(np.uint32)
+    order = order[np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")]
+    ends = np.cumsum(np.bincount(shard, minlength=shards))
+    for i in np.flatnonzero(np.diff(ends, prepend=0)):
+        yield int(i), order[(ends[i - 1] if i else 0) : ends[i]]
+
 
-    Rows are told apart by their partition and place. Each begins with a row of n = 0, which has its
-    id and language and keys of no n-gram, so that texts without words stay."""
-    bounded(docs.sparkSession)
-    names = ["row", "doc_id", "lang", "n", "k3", "k12", "k23", "w", "v"]
+def _packed(entries: DataFrame, shards: int) -> DataFrame:
+    """shard, keys and values: the entries of a task that are of a shard as two strings of bytes, in rows of PACK at most."""
 
     def rows(batches):
+        def pack(parts):
+            key, value = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+            got = [(s, key[i].tobytes(), value[i].tobytes()) for s, i in _shards(key, shards)]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "keys", "values"])
+
+        parts, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                parts.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+                n += b.num_rows
+            if n >= PACK:
+                yield pack(parts)
+                parts, n = [], 0
+        if parts:
+            yield pack(parts)
+
+    return entries.mapInArrow(tidy(rows, "perplexity"), "shard int, keys binary, values binary")
+
+
+def _asked(rows: DataFrame, part: int, slices: int, shards: int) -> DataFrame:
+    """shard, batch, ids, at and keys: what texts (row, text) look up in a slice of the model, the keys of a
+    batch of texts in a shard in a row; at is the place of each key's text in ids."""
+
+    def ask(t: Texts):
+        doc, k3, k12, k23, w, v = trigrams(t)
+        m = _slice(v, slices) == part
+        d, own = doc[m], _slice(w, slices) == part
+        last = np.flatnonzero(np.diff(doc, append=-1) != 0)
+        end = last[_slice(w[last], slices) == part]
+        begin = doc[last] if _slice(np.array([_START]), slices)[0] == part else doc[:0]
+        key = np.concatenate([k3[m], k23[m], k12[m] ^ _CONTEXT, w[own], w[end] ^ _LAST, np.full(len(begin), _START)])
+        return key, np.concatenate([d, d, d, doc[own], doc[end], begin])
+
+    def pack(parts, batch):
+        begin = np.cumsum([0] + [len(p[0]) for p in parts])
+        ids, key = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        at = np.concatenate([p[2] + i for p, i in zip(parts, begin, strict=False)])
+        got = []
+        for s, i in _shards(key, shards):
+            here = np.zeros(len(ids), bool)
+            here[at[i]] = True
+            place = (np.cumsum(here) - 1)[at[i]].astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+            got.append((s, batch, ids[here].tobytes(), place.tobytes(), key[i].tobytes()))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got, strict=True), kinds, strict=True)], ["shard", "batch", "ids", "at", "keys"])
+
+    def run(batches):
         from pyspark import TaskContext
 
-        begin = TaskContext.get().partitionId() << 33
+        batch, parts, n = TaskContext.get().partitionId() << 33, [], 0
         for b in batches:
-            row = begin + np.arange(b.num_rows)
-            begin += b.num_rows
-            none = pa.array(mix(row.astype(np.uint64) ^ _START).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(row), b.column(0), b.column(1), pa.array(np.zeros(b.num_rows, np.int64)), *[none] * 5], names)
-            for i, _, t in pieces(b, "text", lower=True):
-                doc, *keys = trigrams(t)
-                order = np.lexsort((keys[0], doc))
-                d, k = doc[order], keys[0][order]
-                first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(k, prepend=k[:1]) != 0))
-                n = np.diff(np.append(first, len(d)))
-                at = order[first]
-                yield pa.RecordBatch.from_arrays([pa.array(row[i + doc[at]]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.string()), pa.array(n), *[pa.array(x[at].view(np.int64)) for x in keys]], names)
-
-    g = docs.select("doc_id", "lang", "text").mapInArrow(tidy(rows, "perplexity"), "row long, doc_id long, lang string, n long, k3 long, k12 long, k23 long, w long, v long")
-    for kind, key in ((P3, "k3"), (P2, "k23"), (P1, "w"), (B2, "k12"), (B1, "v")):
-        g = g.join(entries.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("value").alias(f"x{kind}")), key, "left").drop(key)
-    base = entries.where((F.col("kind") == P1) & (F.col("key") == 0)).first()["value"]
-    zero = F.lit(0.0)
-    log_p = F.coalesce("x0", F.coalesce("x3", zero) + F.coalesce("x1", F.coalesce("x4", zero) + F.coalesce("x2", F.lit(base))))
-    return g.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("lang").alias("lang"), F.sum("n").alias("n_words"), F.sum(F.col("n") * log_p).alias("log_p")).drop("row")
+            row = b.column(0).to_numpy()
+            for i, j, t in pieces(b, "text", lower=True):
+                key, at = ask(t)
+                if len(key):
+                    parts.append((row[i:j], key, at))
+                    n += len(key)
+                if n >= PACK:
+                    yield pack(parts, batch)
+                    batch, parts, n = batch + 1, [], 0
+        if parts:
+            yield pack(parts, batch)
+
+    return rows.select("row", "text").mapInArrow(tidy(run, "perplexity"), "shard int, batch long, ids binary, at binary, keys binary")
+
+
+def _found(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """batch, ids and sums: of the values that a shard holds for the keys of each text of a batch."""
+    out = []
+    if held.num_rows:
+        key, value = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in held.column(c)]) for c, t in (("keys", np.uint64), ("values", np.float64)))
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        for batch, ids, at, keys in zip(*(asked.column(c) for c in ("batch", "ids", "at", "keys")), strict=True):
+            k, row = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(ids.as_buffer(), np.int64)
+            p = np.frombuffer(at.as_buffer(), f"u{len(at.as_buffer()) // len(k)}")
+            found = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            hit = np.flatnonzero(key[found] == k)
+            sums = np.bincount(p[hit], value[found[hit]], minlength=len(row))
+            some = np.flatnonzero(np.bincount(p[hit], minlength=len(row)))
+            out.append((batch.as_py(), row[some].tobytes(), sums[some].tobytes()))
+    return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("batch", pa.int64()), ("ids", pa.binary()), ("sums", pa.binary())))})
+
+
+def _added(found: pa.Table) -> pa.Table:
+    """row and log_p: the sums of a batch's texts over all shards."""
+    ids, sums = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in found.column(c)]) for c, t in (("ids", np.int64), ("sums", np.float64)))
+    row, at = np.unique(ids, return_inverse=True)
+    return pa.table({"row": row, "log_p": np.bincount(at, sums, minlength=len(row))})
+
+
+def scored(docs: DataFrame, m: Model, slices: int | None = None, rounds: int | None = None) -> DataFrame:
+    """doc_id, lang, n_words and log_p (the sum over its words) of each row of docs.
+
+    A row is known by a hash of its id, language and text. Rows that are alike in all three have one sum,
+    which is theirs in equal shares. Each slice of the model is built once and then asked in rounds, by
+    a part of the rows in each."""
+    spark = docs.sparkSession
+    bounded(spark)
+    row = F.xxhash64("doc_id", "lang", "text", F.isnull("doc_id"), F.isnull("lang"), F.isnull("text"))
+    rows = docs.select(row.alias("row"), "doc_id", "lang", "text")
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.zeros(b.num_rows, np.int64)
+        for i, j, t in pieces(b, "text"):
+            n[i:j] = np.bincount(t.words()[0], minlength=j - i)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n)], ["row", "doc_id", "lang", "n_words"])
+
+    with _brief_shuffles(spark):
+        every = durable(arrow_map(rows, rows.columns, count, "row long, doc_id long, lang string, n_words long", "perplexity"), "rows")
+        slices = slices or _slices(docs)
+        rounds = rounds or (ROUNDS if slices == SLICES else 1)
+        turn = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(rounds)).alias("turn"), row.alias("row"), "text")
+        shards = max(1, m.size // slices // SHARD)
+        sums = []
+        for part in range(slices):
+            entries, used = _entries(m, part, slices)
+            held = durable(_packed(entries, shards), "model")
+            for t in used:
+                forget(t)
+            for r in range(rounds):
+                asked = _asked(turn.where(F.col("turn") == r), part, slices, shards)
+                found = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(_found, "batch long, ids binary, sums binary")
+                sums.append(durable(found.groupBy("batch").applyInArrow(_added, "row long, log_p double"), "sums"))
+            forget(held)
+        total = reduce(DataFrame.union, sums).groupBy("row").agg(F.sum("log_p").alias("log_p"))
+        total = total.join(every.groupBy("row").agg(F.count("*").alias("alike")), "row")
+        log_p = F.when(F.col("n_words") > 0, F.col("n_words") * F.lit(m.base) + F.coalesce(F.col("log_p") / F.col("alike"), F.lit(0.0))).otherwise(0.0)
+        return durable(every.join(total, "row", "left").select("doc_id", "lang", "n_words", log_p.alias("log_p")), "sums")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -133,8 +329,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     trains = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)) == 0
-    entries = model(docs.where(trains).join(good, "doc_id", "left_semi").select("text"))
-    s = durable(scored(docs, entries).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n_words")))), "scored")
+    m = model(docs.where(trains).join(good, "doc_id", "left_semi").select("text"))
+    s = durable(scored(docs, m).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_p") / F.col("n_words")))), "scored")
     test = s.where(~trains).join(good, "doc_id", "left_semi").where("perplexity is not null")
     per = test.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("m")).where(F.col("m") * (1 - quantile) >= INSIDE)
     every = test.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -345,6 +346,25 @@ def test_kneser_ney(spark, docs, texts):
         assert got[k][0] == n and got[k][1] == pytest.approx(plain.log_p(x), rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize(("slices", "rounds"), [(3, 2), (1, 3)])
+def test_kneser_ney_in_slices(spark, docs, texts, monkeypatch, slices, rounds):
+    """Slices, rounds, many shards and small batches give the plain sums, and leave no table of n-grams on disk."""
+    from docweir.operators.durable import shared_dir
+
+    monkeypatch.setattr(perplexity, "SHARD", 1000)
+    monkeypatch.setattr(perplexity, "PACK", 20_000)
+    plain = PlainKneserNey([texts[k] for k in sorted(texts) if k % 3 == 0])
+    before = set(Path(shared_dir(spark)).glob("*/*"))
+    entries = perplexity.model(docs.where("doc_id % 3 = 0").select("text"), slices)
+    twice = docs.union(docs.where("doc_id < 50"))
+    got = [(r.doc_id, r.n_words, r.log_p) for r in perplexity.scored(twice, entries, slices, rounds).collect()]
+    left = {p.name.rsplit("-", 1)[0] for p in set(Path(shared_dir(spark)).glob("*/*")) - before}
+    assert left.isdisjoint({"trigrams", "bigrams", "model", "contexts", "words", "bigram-probabilities", "bigram-contexts"})
+    assert sorted(k for k, _, _ in got) == sorted([*texts, *(k for k in texts if k < 50)])
+    for k, n, log_p in got:
+        assert n == len(re.findall(WORD, texts[k])) and log_p == pytest.approx(plain.log_p(texts[k]), rel=1e-9, abs=1e-9)
+
+
 def test_kneser_ney_sums_to_one():
     plain = PlainKneserNey(["a b a c a b d a b a", "a b"])
     for context in ("a b", "b a", "d a", "c c", "z a"):
