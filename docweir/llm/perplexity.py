@@ -40,7 +40,7 @@ _F = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 #: Mixed into keys of contexts of two words, and of a text's last word, which is nothing's context.
 _CONTEXT, _LAST = U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)
 #: Slices of the model and rounds of texts for each, from SLICE_BYTES of text for each slice on; fewer for less.
-SLICES, ROUNDS, SLICE_BYTES = 6, 4, 16 << 20
+SLICES, ROUNDS, SLICE_BYTES = 6, 3, 16 << 20
 #: Entries of a shard, and keys in a task before they go out.
 SHARD, PACK, SEED = 500_000, 1_000_000, 20240607
 
@@ -155,10 +155,12 @@ def _entries(m: Model, part: int, slices: int) -> tuple[DataFrame, list[DataFram
     three = durable(_tokens(m.texts, "v", part, slices).groupBy("k3", "k12", "k23", "w", "v").agg(F.count("*").alias("n")), "trigrams")
     two = durable(three.groupBy("k23", "w", "v").agg(F.count("*").alias("n")), "bigrams")
     c2 = durable(_context(two, "v", m.d2).withColumn("b1", F.log("back")), "contexts")
-    p2 = two.join(c2, "v").join(m.words, "w").select("k23", F.log(_less(m.d2) / F.col("total") + F.col("back") * F.exp("p1")).alias("p2"), (F.col("b1") + F.col("p1")).alias("f2"))
+    one = lambda t: t.hint("shuffle_hash")  # noqa: E731  a row a key: small hash tables instead of sorts
+    p2 = two.join(one(c2), "v").join(one(m.words), "w").select("k23", F.log(_less(m.d2) / F.col("total") + F.col("back") * F.exp("p1")).alias("p2"), (F.col("b1") + F.col("p1")).alias("f2"))
     p2 = durable(p2, "bigram-probabilities")
+    forget(two)
     c3 = durable(_context(three, "k12", m.d3), "bigram-contexts")
-    p3 = three.select("k3", "k12", "k23", "n").join(c3, "k12").join(p2.select("k23", "p2"), "k23")
+    p3 = three.select("k3", "k12", "k23", "n").join(one(c3), "k12").join(one(p2.select("k23", "p2")), "k23")
     gain = F.log(_less(m.d3) / F.col("total") + F.col("back") * F.exp("p2")) - F.log("back") - F.col("p2")
     here = m.words.where(F.expr(f"shiftrightunsigned(w, 33) % {slices} = {part}"))
     zero = F.lit(0.0)
@@ -171,7 +173,7 @@ def _entries(m: Model, part: int, slices: int) -> tuple[DataFrame, list[DataFram
         word.select("w", F.coalesce(F.col("p1") - m.base, zero) + F.coalesce("b1", zero)),
         c2.select(salted("v", _LAST), -F.col("b1")),
     ]
-    return reduce(DataFrame.union, parts), [three, two, c2, p2, c3]
+    return reduce(DataFrame.union, parts), [three, c2, p2, c3]
 
 
 def _shards(key: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
