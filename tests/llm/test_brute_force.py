@@ -365,6 +365,32 @@ def test_kneser_ney_in_slices(spark, docs, texts, monkeypatch, slices, rounds):
         assert n == len(re.findall(WORD, texts[k])) and log_p == pytest.approx(plain.log_p(texts[k]), rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize(("frequent", "slices"), [(0, 3), (300, 2)])
+def test_kneser_ney_rare_words(spark, docs, texts, monkeypatch, frequent, slices):
+    """Words that tasks don't know are sent to where they are wanted: the sums are the plain ones."""
+    monkeypatch.setattr(perplexity, "FREQUENT", frequent)
+    monkeypatch.setattr(perplexity, "SHARD", 5000)
+    plain = PlainKneserNey([texts[k] for k in sorted(texts) if k % 3 == 0])
+    m = perplexity.model(docs.where("doc_id % 3 = 0").select("text"), slices)
+    assert len(m.frequent.value[1]) <= frequent
+    got = {r.doc_id: r.log_p for r in perplexity.scored(docs, m, slices, 1).collect()}
+    assert got.keys() == texts.keys()
+    for k, x in texts.items():
+        assert got[k] == pytest.approx(plain.log_p(x), rel=1e-9, abs=1e-9)
+
+
+def test_kneser_ney_asks_a_word_once(spark, docs, texts):
+    """A word asks one pair of keys in one slice, an unknown one itself too, and a text three more at most."""
+    m = perplexity.model(docs.where("doc_id % 3 = 0").select("text"), 3)
+    rows = docs.selectExpr("doc_id as row", "text")
+    asked = [perplexity._asked(rows, m, part, 3, 2).where(f"kind <> {perplexity.KNOWN}") for part in range(3)]
+    keys = sum(x.selectExpr("sum(octet_length(keys)) div 8").first()[0] for x in asked)
+    words = {k: re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), x)) for k, x in texts.items()}
+    trained = {w for k, x in words.items() if k % 3 == 0 for w in x}
+    n, unknown = sum(len(x) for x in words.values()), sum(w not in trained for x in words.values() for w in x)
+    assert n <= keys <= 1.02 * (n + unknown) + 3 * len(texts)
+
+
 def test_kneser_ney_sums_to_one():
     plain = PlainKneserNey(["a b a c a b d a b a", "a b"])
     for context in ("a b", "b a", "d a", "c c", "z a"):
