@@ -117,7 +117,7 @@ def retrieve(questions: DataFrame, sources: Sources | DataFrame, top_k: int = 5,
             questions = questions.withColumn(c, default)
     content = sources.docs.select("doc_id", T.final_content(F.col("title"), F.lit(None).cast("string"), F.col("text")).alias("text"))
     index = chunking.index(content)
-    ready = index, durable(chunking.idf(index[0], index[1]), "idf")
+    ready = index, durable(chunking.idf(index), "idf")
     judge = judge or (lambda g, e, f: cited_elsewhere(g, e, f, sources.docs, least))
     goals = durable(plan(questions, planner).withColumns({"satisfied": F.lit(False), "note": F.lit(None).cast("string"), "hops": F.lit(0)}), "goals")
     evidence = facts = None
