@@ -53,13 +53,9 @@ kf as (select distinct query_id, 1 as turn, concat_ws('|', value, 'AP_DUNG_CHO',
 f as (select * from cf union all select * from kf qualify row_number() over (partition by query_id, fact_id order by turn) = 1)"""
 
 
-def _facts(spark, sf):
-    v, e = _graph(spark, sf)
-    v = v.withColumn("file_path", F.col("entity_id"))
+def _matched(spark, sf):
     p = table(spark, sf, "part").where("p_partkey % 50 = 0")
-    titles = table(spark, sf, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_partkey").alias("query_id"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("title"))
-    matched = p.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("k"), "p_brand").alias("name"))
-    return graphsearch.citation_facts(v, e, titles), graphsearch.concept_facts(v, e, matched)
+    return p.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("k"), "p_brand").alias("name"))
 
 
 @query(_FACTS + """ select query_id, fact_id, src as source_entity, coalesce(a.entity_type, '') as source_type, relation, dst as target_entity, coalesce(c.entity_type, '') as target_type,
@@ -67,13 +63,15 @@ def _facts(spark, sf):
 from f left join vt a on a.entity_id = f.src left join vt c on c.entity_id = f.dst qualify rank <= 12""", "vertices edges")
 def graph_facts(spark, sf):
     """Twelve facts a query, so that both strategies have room in some."""
-    out = graphsearch.first_facts(list(_facts(spark, sf)), 12)
+    v, e = _graph(spark, sf)
+    titles = table(spark, sf, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_partkey").alias("query_id"), F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("title"))
+    out = graphsearch.found_facts(v.withColumn("file_path", F.col("entity_id")), e, titles, _matched(spark, sf), cap=12)
     return out.select("query_id", "fact_id", "source_entity", "source_type", "relation", "target_entity", "target_type", "strategy", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_FACTS.replace("select * from cf union all select * from kf qualify", "select * from kf qualify") + " select query_id, count(*) as facts, count(*) filter (relation = 'QUY_DINH') as sets, min(fact_id) as first_fact from f group by query_id", "vertices edges")
 def concept_fact_counts(spark, sf):
-    k = _facts(spark, sf)[1]
+    k = graphsearch.concept_edges(*_graph(spark, sf), _matched(spark, sf))
     return k.groupBy("query_id").agg(F.count("*").alias("facts"), F.count_if(F.col("relation") == "QUY_DINH").alias("sets"), F.min("fact_id").alias("first_fact"))
 
 

@@ -79,11 +79,8 @@ def goal_facts(goals: DataFrame, hits: DataFrame, sources: Sources, hops: int =
     """query_id, rank and facts of goals (query_id, text, embedding): citations around the documents that they hit,
     then bundles of the concepts that they name, cap at most."""
     titles = hits.join(sources.docs.select("doc_id", "title"), "doc_id").select("query_id", "title").join(goals.select("query_id"), "query_id", "left_semi")
-    found = [graphsearch.citation_facts(sources.vertices, sources.edges, titles, hops)]
-    if sources.concepts is not None:
-        matched = graphsearch.match_concepts(goals.select("query_id", "text", "embedding"), sources.concepts, top_k)
-        found.append(graphsearch.concept_facts(sources.vertices, sources.edges, matched))
-    return graphsearch.first_facts(found, cap)
+    matched = None if sources.concepts is None else graphsearch.match_concepts(goals.select("query_id", "text", "embedding"), sources.concepts, top_k)
+    return graphsearch.found_facts(sources.vertices, sources.edges, titles, matched, hops, cap)
 
 
 def cited_elsewhere(goals: DataFrame, evidence: DataFrame, facts: DataFrame, docs: DataFrame, least: float = 0.35) -> DataFrame:
