@@ -48,18 +48,22 @@ def plan(questions: DataFrame, planner: Planner | None = None) -> DataFrame:
     return goals.select((F.col("question_id") * 8 + F.col("i")).alias("query_id"), "question_id", F.concat(F.lit("g"), F.col("i") + 1).alias("subgoal"), "description", *rest)
 
 
-def passages(goals: DataFrame, sources: Sources, ready: tuple, k: int, alpha: float = 0.5) -> DataFrame:
+def nearest(goals: DataFrame, sources: Sources, k: int) -> DataFrame | None:
+    """query_id, doc_id and score of the max(2k, 10) nearest passages of goals (query_id, embedding)."""
+    if sources.vectors is None:
+        return None
+    active = sources.vectors.join(sources.docs.select("doc_id"), "doc_id", "left_semi")
+    q = goals.where("embedding is not null").select("query_id", "embedding")
+    return durable(vectors.search(active, q, max(2 * k, 10), vec_id="doc_id", own=True).withColumnRenamed("vec_id", "doc_id"), "dense")
+
+
+def passages(goals: DataFrame, sources: Sources, ready: tuple, k: int, alpha: float = 0.5, dense: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score and rank of the k best passages of goals (query_id, text, embedding, hybrid): of
-    vectors and keywords fused, max(2k, 10) of each, or without hybrid of vectors alone."""
-    fetch = max(2 * k, 10)
+    vectors and keywords fused, max(2k, 10) of each, or without hybrid of vectors alone. dense: nearest(), if it is there already."""
     index, weights = ready
-    keyword = chunking.bm25(sources.docs, goals.where("hybrid").select("query_id", "text"), fetch, ready=index, weights=weights)
-    none = keyword.limit(0).select("query_id", "doc_id", "score")
-    dense = none
-    if sources.vectors is not None:
-        active = sources.vectors.join(sources.docs.select("doc_id"), "doc_id", "left_semi")
-        q = goals.where("embedding is not null").select("query_id", "embedding")
-        dense = durable(vectors.search(active, q, fetch, vec_id="doc_id", own=True).withColumnRenamed("vec_id", "doc_id"), "dense")
+    keyword = chunking.bm25(sources.docs, goals.where("hybrid").select("query_id", "text"), max(2 * k, 10), ready=index, weights=weights)
+    dense = nearest(goals, sources, k) if dense is None else dense
+    dense = keyword.limit(0).select("query_id", "doc_id", "score") if dense is None else dense
     both = goals.select("query_id", "hybrid")
     alone = dense.join(both.where("not hybrid"), "query_id", "left_semi")
     fused = vectors.fuse(dense.join(both.where("hybrid"), "query_id", "left_semi"), keyword, k, alpha)
@@ -118,12 +122,13 @@ def retrieve(questions: DataFrame, sources: Sources | DataFrame, top_k: int = 5,
     judge = judge or (lambda g, e, f: cited_elsewhere(g, e, f, sources.docs, least))
     goals = durable(plan(questions, planner).withColumns({"satisfied": F.lit(False), "note": F.lit(None).cast("string"), "hops": F.lit(0)}), "goals")
     evidence = facts = None
+    dense = nearest(goals, sources, top_k)  # later hops change a goal's text alone
     for hop in range(hops):
         left = goals.where("not satisfied")
         if left.isEmpty():
             break
         q = durable(left.withColumn("text", T.broaden(F.col("description"), F.lit(hop), F.col("note"))).select("query_id", "text", "embedding", "hybrid", "graph"), "goal-queries")
-        hits = durable(passages(q, sources, ready, top_k).withColumn("hop", F.lit(hop)), "hits")
+        hits = durable(passages(q, sources, ready, top_k, dense=dense).withColumn("hop", F.lit(hop)), "hits")
         evidence = hits if evidence is None else durable(_first(evidence.unionByName(hits), ["query_id", "doc_id"]), "evidence")
         if sources.edges is not None:
             new = goal_facts(q.where("graph"), hits, sources).withColumn("hop", F.lit(hop))

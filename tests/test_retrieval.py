@@ -72,3 +72,17 @@ def test_no_graph_no_vectors(spark, sources):
     found, facts, goals = retrieval.retrieve(spark.createDataFrame([(1, "hạn mức; phí"), (2, None)], "question_id long, text string"), retrieval.Sources(sources.docs))
     assert facts.isEmpty() and {r.subgoal for r in goals.where("question_id = 1").collect()} == {"g1", "g2"}
     assert {2, 3} <= {r.doc_id for r in found.collect()}
+
+
+def test_vectors_are_searched_once(spark, sources, monkeypatch):
+    """A goal's later hops change its text alone: one search of vectors for the passages of all hops."""
+    calls, plain = [], retrieval.vectors.search
+
+    def search(*a, **b):
+        calls.append(b.get("vec_id"))
+        return plain(*a, **b)
+
+    monkeypatch.setattr(retrieval.vectors, "search", search)
+    q = questions(spark, [(1, "an toàn vốn", [1.0, 0.0], True, True), (3, "không có gì như vậy xyz", None, True, True)])
+    _, _, goals = retrieval.retrieve(q, sources, top_k=2)
+    assert max(r.hops for r in goals.collect()) > 1 and calls.count("doc_id") == 1
