@@ -26,9 +26,10 @@ SCOPE = r"Phụ\s+lục\s+\d+[^.;\n]{0,80}"
 BEFORE, AFTER = 150, 300
 
 
-def classify(before: Column, after: Column) -> Column:
-    """The relation of the verb nearest to the number; of equally near ones the first, before first."""
-    seen, low = [], [F.lower(before), F.lower(after)]
+def classify(before: Column, after: Column, low: list[Column] | None = None) -> Column:
+    """The relation of the verb nearest to the number; of equally near ones the first, before first. low: both in small
+    letters, if they are there already."""
+    seen, low = [], [F.lower(before), F.lower(after)] if low is None else low
     for i, (name, verb) in enumerate(VERBS):
         some = [reduce(lambda a, b: a | b, [x.contains(w) for w in BEGINS[i]]) for x in low]
         head = F.when(some[0], F.regexp_extract(before, rf"(?siuU)^(.*(?:{verb}))", 1)).otherwise("")
@@ -46,8 +47,11 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     each = found.select("doc_id", "t", "parts", "numbers", F.posexplode("numbers").alias("i", "target"))
     start = size(F.col("parts"), F.col("i") + 1) + size(F.col("numbers"), F.col("i"))
     end = start + F.length("target")
-    here = each.select("doc_id", (F.col("i") + 1).alias("pos"), "target", F.substring("t", F.greatest(start - BEFORE, F.lit(0)) + 1, start - F.greatest(start - BEFORE, F.lit(0))).alias("before"), F.substring("t", end + 1, F.lit(AFTER)).alias("after"))
-    typed = here.withColumn("type", classify(F.col("before"), F.col("after"))).where("type is not null")
+    # rows of one are exploded, so that windows and types are made once and not anew by each filter and column that uses them
+    once = lambda df, keep, *made: df.select(*keep, F.inline(F.array(F.struct(*made))))
+    here = once(each, ["doc_id", "target"], (F.col("i") + 1).alias("pos"), F.substring("t", F.greatest(start - BEFORE, F.lit(0)) + 1, start - F.greatest(start - BEFORE, F.lit(0))).alias("before"), F.substring("t", end + 1, F.lit(AFTER)).alias("after"))
+    here = once(here, ["doc_id", "target", "pos", "before", "after"], F.lower("before").alias("_b"), F.lower("after").alias("_a"))
+    typed = here.select("doc_id", "target", "pos", "before", "after", F.explode(F.array_compact(F.array(classify(F.col("before"), F.col("after"), [F.col("_b"), F.col("_a")])))).alias("type"))
     partial = (F.col("type") == "THAY_THE") & F.col("after").rlike(rf"(?iuU){PARTIAL}")
     scope = T.strip(F.nullif(F.regexp_extract("after", rf"(?iuU){SCOPE}", 0), F.lit("")))
     evidence = F.concat(F.lit("..."), F.right(T.strip(F.col("before")), F.lit(60)), F.lit(" ["), F.col("target"), F.lit("] "), F.left(T.strip(F.col("after")), F.lit(80)), F.lit("..."))
@@ -57,8 +61,9 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def last_wins(citations: DataFrame) -> DataFrame:
     """One edge of each doc_id and target: the type of the last citation, with the properties of the
     first citation of the run of that type which ends there."""
-    w = Window.partitionBy("doc_id", "target").orderBy("pos")
-    changed = F.when(F.lag("type").over(w).eqNullSafe(F.col("type")), None).otherwise(F.col("pos"))
-    runs = citations.withColumn("changed", changed)
-    last = runs.groupBy("doc_id", "target").agg(F.max("changed").alias("pos"), F.count("*").alias("citations"))
-    return citations.join(last, ["doc_id", "target", "pos"]).select("doc_id", "target", "type", "partial", "scope", "pos", "citations")
+    all_ = Window.partitionBy("doc_id", "target")
+    changed = F.when(F.lag("type").over(all_.orderBy("pos")).eqNullSafe(F.col("type")), None).otherwise(F.col("pos"))
+    # windows of one key, so that citations are found and sorted once
+    runs = citations.where("doc_id is not null and target is not null").withColumn("_changed", changed)
+    last = runs.withColumns({"_last": F.max("_changed").over(all_), "citations": F.count("*").over(all_)}).where("pos = _last")
+    return last.select("doc_id", "target", "type", "partial", "scope", "pos", "citations")

@@ -210,7 +210,8 @@ c as (select id as doc_id, pos, target, type, type = 'THAY_THE' and regexp_match
 def _citations(spark, sf):
     """The derived texts come from one small file; they are dealt out before the work on them."""
     texts = table(spark, sf, "citing")
-    return citations.extract(texts.repartition(spark.sparkContext.defaultParallelism, "id"), "id")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return citations.extract(texts.repartition(parts, "id"), "id")
 
 
 @query(_CITE + " select doc_id, cast(pos as bigint) as pos, target, type, partial, scope, evidence from c", "citing")

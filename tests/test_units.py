@@ -151,3 +151,12 @@ def test_providers(spark):
     assert sum(one(spark, "a b a", HashingEmbedder(8).embed)) == 3
     assert one(spark, "x? y", ClausePlanner().plan) == ["x", "y"]
     assert one(spark, "First one. Second.", contextual_prefix) == "First one."
+
+
+def test_last_wins_finds_citations_once(spark):
+    """The citations are no side of a join with themselves; odd keys are left out, rows of a repeated id stay."""
+    rows = [(1, 1, "t", "A"), (1, 2, "t", "B"), (1, 3, "t", "B"), (1, 4, "u", "A"), (2, 1, "t", "A"), (2, 1, "t", "A"), (None, 1, "t", "A"), (3, 1, None, "A")]
+    c = spark.createDataFrame(rows, "doc_id long, pos int, target string, type string").selectExpr("*", "false as partial", "cast(null as string) as scope")
+    got = citations.last_wins(c)
+    assert sorted((r.doc_id, r.target, r.type, r.pos, r.citations) for r in got.collect()) == [(1, "t", "B", 2, 3), (1, "u", "A", 4, 1), (2, "t", "A", 1, 2), (2, "t", "A", 1, 2)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
